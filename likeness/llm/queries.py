@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likeness.llm import chat, decontaminate, mixing, neighbours, quality, secrets, simhash, substrings
+from likeness.llm import chat, decontaminate, mixing, neighbours, packing, quality, secrets, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -56,5 +60,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per packed row, with the digest of its ids read back from its shard."""
+    return packing.checked(*packing.pack(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op4_neighbours, op5_secrets, op6_simhash, op7_substrings, op8_chat, op9_mixing)}
+    found = (
+        op1_quality, op2_decontaminate, op3_warc, op4_neighbours, op5_secrets, op6_simhash, op7_substrings, op8_chat, op9_mixing,
+        op10_packing,
+    )
+    return {f.__name__: f for f in found}
