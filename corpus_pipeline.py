@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from likeness.llm import mixing, quality, simhash
+from likeness.llm import decontaminate, mixing, packing, quality, simhash
 from likeness.llm.common import shared_path
 
 
@@ -20,12 +19,25 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality", keep_good), ("near-dedup", drop_copies), ("mixing", mix_sources)]
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per packed row of token ids, with the digest of its ids as they stand in the shard."""
+    return packing.checked(*packing.pack(docs))
+
+
+STAGES = [
+    ("quality classifier", keep_good), ("near-dedup", drop_copies), ("decontamination", drop_leaks), ("mixing", mix_sources),
+    ("packing", pack_tokens),
+]
 
 #: The classifier's dictionaries and the hashes have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -35,7 +47,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = shared_path(spark, f"pipeline-{name}")
+        path = shared_path(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -1,29 +1,37 @@
 """Near-duplicates by SimHash: a byte-position inverted index with count filtering.
 
-A 64-bit fingerprint is eight bytes at fixed positions. Two fingerprints that differ in at most four
-bits share at least four positional bytes, since a bit spoils one byte only. Postings are keyed by
-three positions and their bytes; the 20 triples below meet every four of the eight positions, so no
-pair is missed, while a random pair rarely meets. Within a posting list the shared positional bytes of each pair are
-tallied; pairs that reach the guaranteed four are verified by their differing bits.
+A fingerprint is a row of bytes at fixed positions. Postings are keyed by a few positions and their
+bytes; within a posting list the shared positional bytes of each pair are tallied, pairs that reach
+the guaranteed minimum are retained, and those are verified by their differing bits.
+
+Two settings share this machinery. ``near_duplicates`` links 64-bit fingerprints by up to four bits:
+a bit spoils one byte only, so four of the eight bytes stay, and the 20 triples of positions used as keys meet
+every four positions: no pair is missed. ``similar_documents`` looks for similarity of 0.8, which is
+too loose for such a guarantee; it takes longer fingerprints and more keys, and finds a pair at the
+threshold in 19 of 20 cases.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from likeness.llm.common import materialize, slices
 from likeness.llm.components import connected_components
 
-BITS, MAX_BITS, SEED, SHINGLE = 64, 4, 42, 4
+SEED = 42
 #: A posting list longer than this is cut into chunks, and each pair of chunks is compared in a task of its own.
 CHUNK = 2048
+#: Lists up to this length are compared all at once, longer ones one by one.
+SHORT = 48
 
 
-def covering_triples() -> list[tuple[int, int, int]]:
+def covering_triples() -> list[tuple[int, ...]]:
     """20 triples of the positions 0..7 of which every four positions contain one.
 
     The positions fall into three groups in a ring; the triples lie in one group, or have two positions
@@ -41,150 +49,291 @@ def covering_triples() -> list[tuple[int, int, int]]:
     return [t for t in combinations(range(8), 3) if taken(t)]
 
 
+def spread_pairs(octets: int, n: int) -> list[tuple[int, ...]]:
+    """``n`` pairs of positions that use all positions about equally often: neighbours at growing distances."""
+    found: list[tuple[int, ...]] = []
+    step = 1
+    while len(found) < n:
+        ring = [tuple(sorted((i, (i + step) % octets))) for i in range(0, octets, 2 if step == 1 else 1)]
+        found += [p for p in ring if p not in found][: n - len(found)]
+        step += 2
+    return found
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How texts become fingerprints and fingerprints become postings."""
+
+    shingle: int
+    words64: int
+    max_bits: int
+    keys: tuple[tuple[int, ...], ...]
+
+    @property
+    def least_shared(self) -> int:
+        """Positional bytes that linked fingerprints share at least, those of one key if nothing more is guaranteed."""
+        return max(len(self.keys[0]), 8 * self.words64 - self.max_bits)
+
+
+#: Four-word shingles, 64 bits, up to four of them different.
+CONTRACT = Scheme(4, 1, 4, tuple(covering_triples()))
+
+
+def similarity_scheme(similarity: float = 0.8, shingle: int = 5, words64: int = 6, keys: int = 40) -> Scheme:
+    """Bits that differ at a Jaccard similarity of equally large shingle sets, by the angle between them."""
+    angle = math.acos(2 * similarity / (1 + similarity))
+    return Scheme(shingle, words64, round(64 * words64 * angle / math.pi), tuple(spread_pairs(8 * words64, keys)))
+
+
 #: Upper to lower case for A-Z only, as bytes.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit number; 0 for a text without words."""
+def _bit_counts(hashes):
+    """How often each bit is set, over rows of unsigned 64-bit numbers; the first bit is the highest.
+
+    Long inputs are first added up three rows to two, bit by bit: a sum row and a row of carries.
+    """
+    import numpy as np
+
+    counts, weight = np.zeros(64 * hashes.shape[1], np.int64), 1
+    while len(hashes):
+        carries = []
+        while len(hashes) > 96:
+            n = len(hashes) // 3
+            a, b, c = hashes[:n], hashes[n : 2 * n], hashes[2 * n : 3 * n]
+            either = a ^ b
+            carries.append((a & b) | (c & either))
+            hashes = np.concatenate([either ^ c, hashes[3 * n :]])
+        octets = hashes.astype(">u8").view(np.uint8).reshape(len(hashes), -1)
+        counts += weight * np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.uint16)
+        hashes, weight = np.concatenate(carries) if carries else hashes[:0], 2 * weight
+    return counts
+
+
+def fingerprint(text: str | None, scheme: Scheme = CONTRACT) -> bytes:
+    """The fingerprint of a text, highest byte first; all zero for a text without words.
+
+    The first 64 bits stem from the shingles' XXH64 itself, further ones from numbers mixed from it.
+    """
     import numpy as np
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
-    hash_of = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return int(np.uint64(hash_of(b" ".join(words), SEED)).astype(np.int64))
+        return bytes(8 * scheme.words64)
+    hash_of, shingle = xxhash.xxh64_intdigest, scheme.shingle
     line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    begins = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
-    n = len(words) - shingle + 1
-    hashes = np.fromiter(
-        (hash_of(line[a:b], SEED) for a, b in zip(begins[:n].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, n
-    )
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 8192):
-        octets = hashes[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * counts > n)
-    return int(bits.view(">u8")[0].astype(np.uint64).astype(np.int64))
-
-
-def fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE) -> DataFrame:
-    """The columns ``keep`` and ``fp`` (long) of each row of ``docs``."""
-    chosen = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = docs.select(*keep, F.lit(0).cast("long").alias("fp")).schema
+    if len(words) <= shingle:
+        hashes = np.array([hash_of(line, SEED)], np.uint64)
+    else:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        begins, n = ends - sizes, len(words) - shingle + 1
+        cut = zip(begins[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+        hashes = np.fromiter((hash_of(line[a:b], SEED) for a, b in cut), np.uint64, n)
+    lanes = [hashes]
+    for lane in range(1, scheme.words64):
+        x = (hashes ^ np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        lanes.append(x ^ (x >> np.uint64(32)))
+    return np.packbits(2 * _bit_counts(np.stack(lanes, axis=1)) > len(hashes)).tobytes()
+
+
+def fingerprints(docs: DataFrame, scheme: Scheme = CONTRACT) -> DataFrame:
+    """``doc_id, fp`` of each row of ``docs``."""
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("_text"))
+    schema = docs.select("doc_id", F.lit(b"").alias("fp")).schema
 
     def run(batches):
         for batch in batches:
             for part, (texts,) in slices(batch, ["_text"]):
-                fps = pa.array([fingerprint(t, shingle) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], fps], names=[*part.schema.names[:-1], "fp"])
+                fps = pa.array([fingerprint(t, scheme) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), fps], names=["doc_id", "fp"])
 
     return chosen.mapInArrow(run, schema)
 
 
-def hex_digits(fp: Column) -> Column:
-    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+def _numbers(column: pa.Array, words64: int):
+    """Binary fingerprints as rows of unsigned 64-bit numbers."""
+    import numpy as np
 
+    flat = pa.array(column, column.type) if not isinstance(column, pa.Array) else column
+    return np.frombuffer(b"".join(flat.to_pylist()), np.uint64).reshape(-1, words64)
 
-def _linked(left, right, same: bool, max_bits: int):
-    """Index pairs of two fingerprint arrays that link, a spanning forest of them; in rows of bounded size."""
+
+def _near(x, y, scheme: Scheme):
+    """Which rows of ``x`` and ``y`` share enough positional bytes and differ in few enough bits."""
     import numpy as np
 
-    least = 8 - max_bits
-    parent = list(range(len(left) + (0 if same else len(right))))
+    xor = np.ascontiguousarray(x ^ y)
+    tally = (xor.view(np.uint8).reshape(len(xor), -1) == 0).sum(axis=1)
+    kept = np.nonzero(tally >= scheme.least_shared)[0]
+    return kept[np.bitwise_count(xor[kept]).sum(axis=1, dtype=np.int64) <= scheme.max_bits]
+
+
+def _forest(pairs):
+    """Those of the pairs, in order, that join two trees."""
+    parent: dict[int, int] = {}
 
     def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+        while (up := parent.get(i, i)) != i:
+            parent[i] = parent.get(up, up)
+            i = up
         return i
 
-    shift = 0 if same else len(left)
-    rows = max(1, (1 << 20) // max(1, len(right)))
-    out = []
-    for at in range(0, len(left), rows):
-        xor = left[at : at + rows, None] ^ right[None, :]
-        shared = (xor[..., None].view(np.uint8) == 0).sum(axis=-1)
-        i, j = np.nonzero(shared >= least)
-        if same:
-            i, j = i[i + at < j], j[i + at < j]
-        near = np.bitwise_count(xor[i, j]) <= max_bits
-        for x, y in zip((i[near] + at).tolist(), j[near].tolist(), strict=True):
-            a, b = root(x), root(y + shift)
-            if a != b:
-                parent[a] = b
-                out.append((x, y))
-    return out
-
-
-def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges ``a, b`` between distinct fingerprints (column fp) that join whatever ``max_bits`` joins.
+    kept = []
+    for x, y in pairs:
+        a, b = root(x), root(y)
+        if a != b:
+            parent[a] = b
+            kept.append((x, y))
+    return kept
+
+
+def _short_lists(prints, offsets, scheme: Scheme):
+    """Links within many short lists at once: members at distance 1, 2, ... of all lists."""
+    import numpy as np
+
+    sizes, pairs = np.diff(offsets), []
+    ends = np.repeat(offsets[1:], sizes)
+    at = np.arange(offsets[0], offsets[-1])
+    for gap in range(1, int(sizes.max(initial=1))):
+        at = at[at + gap < ends[at - offsets[0]]]
+        for lo in range(0, len(at), 1 << 16):
+            i = at[lo : lo + (1 << 16)]
+            near = i[_near(prints[i], prints[i + gap], scheme)]
+            pairs += zip(near.tolist(), (near + gap).tolist(), strict=True)
+    return _forest(pairs)
+
+
+def _long_list(left, right, scheme: Scheme):
+    """Links of two rows of fingerprints, or of one with itself: a spanning forest, found breadth-first."""
+    import numpy as np
+
+    same = right is None
+    both = left if same else np.concatenate([left, right])
+    n, split = len(both), 0 if same else len(left)
+    new, edges = np.ones(n, bool), []
+    for start in range(n):
+        if not new[start]:
+            continue
+        new[start] = False
+        queue = [start]
+        while queue:
+            i = queue.pop()
+            other = np.nonzero(new)[0] if same else np.nonzero(new[split:])[0] + split if i < split else np.nonzero(new[:split])[0]
+            if not len(other):
+                continue
+            met = other[_near(both[other], both[i : i + 1], scheme)]
+            new[met] = False
+            queue += met.tolist()
+            edges += [(i, int(j)) for j in met]
+    return edges
+
+
+def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Edges ``a, b`` between nodes (node long, fp binary) that join whatever the links of the scheme join.
 
     Each posting list yields a spanning forest of its links, so the edges grow with the lists and
-    not with their squares, and components stay exactly those of all links.
+    not with their squares, and components are those of all links.
     """
-    if not 0 <= max_bits <= 4:
-        raise ValueError("the index guarantees four shared bytes up to four differing bits")
-    octet = [F.shiftrightunsigned("fp", 56 - 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
-    keys = [
-        F.lit(n << 24) + octet[i] * F.lit(1 << 16) + octet[j] * F.lit(1 << 8) + octet[k]
-        for n, (i, j, k) in enumerate(covering_triples())
-    ]
-    postings = distinct.select("fp", F.explode(F.array(*[k.cast("long") for k in keys])).alias("key"))
-    lengths = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+    def post(batches):
+        import numpy as np
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                octets = _numbers(part.column(1), scheme.words64).view(np.uint8).reshape(part.num_rows, -1)
+                keys = np.empty((part.num_rows, len(scheme.keys)), np.int64)
+                for n, places in enumerate(scheme.keys):
+                    keys[:, n] = n
+                    for p in places:
+                        keys[:, n] = (keys[:, n] << 8) | octets[:, p]
+                own = np.repeat(np.arange(part.num_rows), len(scheme.keys))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own))], names=["key", "node", "fp"]
+                )
+
+    postings = nodes.select("node", "fp").mapInArrow(post, "key long, node long, fp binary")
+    narrow = nodes.select("fp", F.explode(F.array(*[F.concat(F.lit(bytes([n])), *[F.substring("fp", p + 1, 1) for p in places]) for n, places in enumerate(scheme.keys)])).alias("k"))
+    number = F.conv(F.hex("k"), 16, 10).cast("long").alias("key")
+    lengths = narrow.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(number, "n")
     met = postings.join(lengths, "key")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     # A long list: its chunk meets every other chunk; the pair (x, y) of chunks with x <= y is one task's work.
     met = met.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
     lists = met.groupBy("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(
-        F.collect_list(F.when(F.col("own") <= F.col("other"), F.col("fp"))).alias("left"),
-        F.collect_list(F.when(F.col("own") > F.col("other"), F.col("fp"))).alias("right"),
-    )
+        F.collect_list(F.struct("own", "node", "fp")).alias("members")
+    ).where(F.size("members") > 1)
 
     def run(batches):
         import numpy as np
 
         for batch in batches:
-            a, b = [], []
-            for part, (xs, ys, lefts, rights) in slices(batch, ["x", "y", "left", "right"], 4096):
-                for x, y, left, right in zip(xs, ys, lefts, rights, strict=True):
-                    left = np.array(left, np.int64)
-                    same = x == y
-                    right = left if same else np.array(right, np.int64)
-                    for i, j in _linked(left, right, same, max_bits):
-                        a.append(int(left[i]))
-                        b.append(int(right[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            x, y, members = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
+            flat = members.flatten()
+            own, node, prints = (flat.field(0).to_numpy(), flat.field(1).to_numpy(), _numbers(flat.field(2), scheme.words64))
+            offsets = members.offsets.to_numpy().astype(np.int64) - members.offsets[0].as_py()
+            sizes = np.diff(offsets)
+            edges = []
+            short = (x == y) & (sizes <= SHORT)
+            if short.any():
+                kept = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in np.nonzero(short)[0]])
+                starts = np.append(0, np.cumsum(sizes[short]))
+                edges += [(kept[i], kept[j]) for i, j in _short_lists(prints[kept], starts, scheme)]
+            for i in np.nonzero(~short)[0].tolist():
+                at = np.arange(offsets[i], offsets[i + 1])
+                if x[i] == y[i]:
+                    edges += [(at[a], at[b]) for a, b in _long_list(prints[at], None, scheme)]
+                else:
+                    at = np.concatenate([at[own[at] == x[i]], at[own[at] == y[i]]])
+                    n = int((own[at] == x[i]).sum())
+                    edges += [(at[a], at[b]) for a, b in _long_list(prints[at[:n]], prints[at[n:]], scheme)]
+            a, b = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     return lists.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
+def _grouped(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    prints = materialize(fingerprints(docs, scheme), "simhash")
+    # A 64-bit fingerprint is its own number; a longer one goes by a hash.
+    node = F.conv(F.hex("fp"), 16, -10).cast("long") if scheme.words64 == 1 else F.xxhash64("fp")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("node", node), "simhash-nodes")
+    roots = connected_components(links(nodes, scheme)).withColumnRenamed("node", "_node")
+    named = nodes.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_print = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` for each row: the smallest doc_id that links reach from it.
 
     Texts without words (null, empty) have fingerprint 0 and link like any other. Repeated rows are
     repeated in the result. A null doc_id takes part but names no component; where it is alone,
     component_id is null. Empty tables give empty results; columns besides doc_id and text are ignored.
     """
-    prints = materialize(fingerprints(docs, "doc_id", shingle=shingle), "simhash")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-nodes")
-    roots = connected_components(links(nodes.select("fp"), max_bits))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_print = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, CONTRACT)
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """As ``near_duplicates``, linking texts whose shingle sets are estimated to be that similar or more.
+
+    The estimate's standard error at 0.8 is 0.03.
+    """
+    return _grouped(docs, similarity_scheme(similarity, shingle))
 
 
-def keep_one(docs: DataFrame, max_bits: int = 3, shingle: int = 5) -> DataFrame:
-    """``docs`` without all but one document of each group: the one that its component is named after.
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``docs`` without all but one document of each group of similar ones: the one of smallest id.
 
     Of repeated rows with that id one stays; rows without an id all stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), max_bits, shingle)
+    found = similar_documents(docs.select("doc_id", "text"), similarity, shingle)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = docs.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
