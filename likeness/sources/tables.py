@@ -1,0 +1,106 @@
+"""Readers of listings, splits, vectors, scores, models and configurations."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import tomllib
+from functools import reduce
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from likeness.functions.text import decode_title
+
+#: Columns of a listings file that have to be there, with their types.
+LISTING_COLUMNS = {"posting_id": "string", "image": "string", "image_phash": "string", "title": "string", "label_group": "bigint"}
+
+
+def read_csv(spark: SparkSession, path: str | list[str], columns: dict[str, str]) -> DataFrame:
+    """The named columns of CSV files with headers, by name and of these types; other columns are not read."""
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    missing = [c for c in columns if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} is missing columns: {missing}")
+    return raw.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
+
+
+def load_listings(spark: SparkSession, path: str) -> DataFrame:
+    """Listings with decoded titles. ids must be unique. Columns besides the required are kept as text."""
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    missing = [c for c in LISTING_COLUMNS if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} is missing columns: {missing}")
+    typed = raw.select(*[F.col(c).cast(LISTING_COLUMNS.get(c, "string")).alias(c) for c in raw.columns])
+    if typed.groupBy("posting_id").count().where("count > 1").limit(1).count():
+        raise ValueError("posting_id values must be unique")
+    return typed.withColumn("title", decode_title(F.col("title")))
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path, {"posting_id": "string", "split": "string"})
+
+
+def read_folds(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path, {"posting_id": "string", "fold": "string"})
+
+
+def read_pair_scores(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``query, candidate, score, at``: of a repeated pair the one with the largest ``at`` came last."""
+    columns = {"query": "string", "candidate": "string", "score": "double"}
+    files = [paths] if isinstance(paths, str) else paths
+    parts = [read_csv(spark, p, columns).withColumn("at", F.struct(F.lit(n).alias("file"), F.monotonically_increasing_id().alias("row"))) for n, p in enumerate(files)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """``posting_id, embedding`` from Parquet, or from an npz file that one driver can hold."""
+    if not path.endswith(".npz"):
+        return spark.read.parquet(path).select("posting_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    import numpy as np
+
+    with np.load(path, allow_pickle=False) as data:
+        ids, vectors = data["posting_id"].tolist(), data["vectors"].astype(np.float32).tolist()
+    return spark.createDataFrame(list(zip(ids, vectors, strict=True)), "posting_id string, embedding array<float>")
+
+
+def load_model(path: str, members: int | None = None) -> dict:
+    """Coefficients and intercept of a linear model, checked against the number of members."""
+    model = json.loads(Path(path).read_text())
+    if members is not None and len(model["coef"]) != 2 * members:
+        raise ValueError(f"{path} was trained for {len(model['coef']) // 2} members, not {members}")
+    return model
+
+
+def load_config(path: str) -> dict:
+    """A pipeline's TOML configuration; name, data and retriever have to be there."""
+    with open(path, "rb") as file:
+        config = tomllib.load(file)
+    for key in ("name", "data", "retriever"):
+        if key not in config:
+            raise ValueError(f"{path}: missing [{key}]")
+    return config
+
+
+def load_threshold(results: str, name: str) -> float:
+    """The threshold that the validation run of a configuration has stored."""
+    run = Path(results) / "runs" / f"{name}__val.json"
+    if not run.exists():
+        raise FileNotFoundError(f"run {name} on the val split first; its threshold is reused here")
+    return json.loads(run.read_text())["metrics"]["threshold"]
+
+
+def file_sha256(path: str) -> str:
+    digest = hashlib.sha256()
+    with open(path, "rb") as file:
+        while chunk := file.read(1 << 20):
+            digest.update(chunk)
+    return digest.hexdigest()
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A digest of a table's rows, whatever their order, that repeated rows change too."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    n, total, mixed = df.agg(F.count("*"), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)).first()
+    return hashlib.sha1(f"{df.schema.simpleString()}|{n}|{total}|{mixed}".encode()).hexdigest()

@@ -1,0 +1 @@
+"""Empty: everything here works on complete tables, and no operator keeps state between batches."""
