@@ -1,18 +1,22 @@
 """Repeated passages by relative Lempel-Ziv parsing of every document against the whole corpus.
 
-The corpus itself is the reference, in blocks: the partitions of an index. Any 20 words contain an
-anchor, the smallest of their 5-gram hashes, so anchors are a sampled index that no passage of 20
-words escapes. A document is parsed where its anchors occur a second time in the corpus: each 20-word
-window there is looked up in the block its hash belongs to, which knows the first occurrence. A
-factor is a longest run of windows whose first occurrences follow each other; where the source
-changes, the next factor starts at the boundary window, which has been looked up like all others,
-so no repeated window is lost between two factors.
+The corpus itself is the reference, indexed in blocks. Any 20 words contain an anchor, the smallest of
+their 5-gram hashes, so anchors are a sampled index that no passage of 20 words escapes, and an anchor's
+leading bits name the block that all windows around it belong to. A document is parsed where its
+anchors occur a second time in the corpus: each 20-word window there is looked up in its block, which
+knows the first occurrence. A factor is a longest run of windows whose first occurrences follow each
+other; where the source changes, the next factor starts at the boundary window, which has been looked
+up like all others, so no repeated window is lost between two factors.
+
+Records travel packed, many to a row, and what a batch of documents repeats within itself is settled
+there, so a passage that a third of all documents share reaches its block once per batch.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from likeness.llm.common import fill
@@ -21,7 +25,11 @@ WINDOW, GRAM = 20, 5
 #: Vocabulary entries a worker remembers before it starts over.
 REMEMBERED = 500_000
 #: Odd multipliers of the rolling hashes.
-_GRAM_BASE, _KEY_BASE, _SIDE_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+_GRAM_BASE, _KEY_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Text bytes per index block, and how many blocks there may be, as powers of two.
+BLOCK_BYTES, LEAST_BITS, MOST_BITS = 2_000_000, 5, 24
+#: Bits of a document's join key, and of an anchor's mark. Coinciding keys or marks only add look-ups.
+KEY_BITS, MARK_BITS = 40, 24
 _LAST_ID = 2**63 - 1
 
 
@@ -95,14 +103,6 @@ def _anchors(values, counts, window: int, gram: int):
     return at, grams[at], starts, least[starts]
 
 
-def _packed(order_starts, n: int, data: bytes, width: int) -> pa.Array:
-    """Binary values of ``width``-byte records, each from one start to the next."""
-    import numpy as np
-
-    ends = np.append(order_starts, n) * width
-    return pa.Array.from_buffers(pa.large_binary(), len(order_starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-
-
 def _starts(*sorted_keys):
     """Where a new combination of values starts in arrays sorted by them."""
     import numpy as np
@@ -116,157 +116,227 @@ def _starts(*sorted_keys):
     return np.nonzero(new)[0]
 
 
-def _located(batch, at_column: int):
-    """(ids, text hashes, texts) of up to 512 rows at a time."""
+def _binary(starts, records) -> pa.Array:
+    """The records from each start to the next, as one binary value each."""
+    import numpy as np
+
+    ends = np.append(starts, len(records)) * records.dtype.itemsize
+    buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(records.tobytes())]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).cast(pa.binary())
+
+
+def _located(batch, text: str):
+    """(rows, their text) up to 512 at a time."""
     for at in range(0, batch.num_rows, 512):
         part = batch.slice(at, 512)
-        yield part, part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(at_column).to_pylist()
+        yield part, part.column(part.schema.get_field_index(text)).to_pylist()
+
+
+def _numpy(batch, name: str):
+    return batch.column(batch.schema.get_field_index(name)).to_numpy()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``did, th, text``: a document is known by its id (null: after all others) and its text's hash."""
+    """``dk, did, th, text``: a document is known by its id (null: after all others) and its text's hash."""
     text = fill(F.col("text"))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return named.select(F.xxhash64("did", "th").bitwiseAND(F.lit(2**KEY_BITS - 1)).alias("dk"), "did", "th", "text")
+
+
+def _block_bits(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length(fill(F.col("text"))))).first()[0] or 0
+    return max(LEAST_BITS, min(MOST_BITS, (size // BLOCK_BYTES).bit_length()))
 
 
-def _anchor_index(keyed: DataFrame, window: int, gram: int) -> DataFrame:
-    """``h, n, occ``: an anchor's occurrences within a batch of documents, packed."""
+def _anchor_places(keyed: DataFrame, bits: int, window: int, gram: int) -> DataFrame:
+    """``block, once, again``: packed anchors by block; those a batch holds more than once also under ``again``."""
 
     def run(batches):
         import numpy as np
 
         hashes = _WordHashes()
-        record = np.dtype([("d", "<i8"), ("t", "<i8"), ("p", "<i4")])
+        once, again = np.dtype([("h", "<u8"), ("k", "<u4"), ("j", "u1")]), np.dtype([("k", "<i8"), ("m", "<i4")])
         for batch in batches:
-            keys, places = [], []
-            for _, ids, marks, texts in _located(batch, 2):
+            keys, docs = [], []
+            for part, texts in _located(batch, "text"):
                 values, counts = _words(texts, hashes)
                 at, h, _, _ = _anchors(values, counts, window, gram)
-                ends = np.cumsum(counts)
-                doc = np.searchsorted(ends, at, side="right")
-                place = np.empty(len(at), record)
-                place["d"], place["t"], place["p"] = ids[doc], marks[doc], at - (ends - counts)[doc]
-                keys.append(h.view(np.int64))
-                places.append(place)
-            h, place = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.int64), (places, record)))
+                keys.append(h)
+                docs.append(_numpy(part, "dk")[np.searchsorted(np.cumsum(counts), at, side="right")])
+            h, doc = np.concatenate(keys) if keys else np.empty(0, np.uint64), np.concatenate(docs) if docs else np.empty(0, np.int64)
             order = np.argsort(h, kind="stable")
-            h, place = h[order], place[order]
-            starts = _starts(h)
-            n = np.diff(np.append(starts, len(h))).astype(np.int32)
+            h, doc = h[order], doc[order]
+            first = _starts(h)
+            size = np.diff(np.append(first, len(h)))
+            # An anchor that the batch repeats: settled for its places here; its block gets it twice, so as to count it repeated.
+            multiple = np.repeat(size > 1, size)
+            keep = np.zeros(len(h), bool)
+            keep[first] = keep[first[size > 1] + 1] = True
+            rec = np.empty(int(keep.sum()), once)
+            rec["h"], rec["k"], rec["j"] = h[keep], doc[keep] & 0xFFFFFFFF, doc[keep] >> 32
+            done = np.empty(int((multiple & ~keep).sum()), again)
+            done["k"], done["m"] = doc[multiple & ~keep], (h[multiple & ~keep] & np.uint64(2**MARK_BITS - 1)).astype(np.int32)
+            block = (rec["h"] >> np.uint64(64 - bits)).astype(np.int64)
+            cut = _starts(block)
+            order = np.argsort(done["k"], kind="stable")
+            done = done[order]
+            spread = done["k"] & (2**bits - 1)
+            done, spread = done[np.argsort(spread, kind="stable")], np.sort(spread, kind="stable")
+            more = _starts(spread)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[starts]), pa.array(n), _packed(starts, len(h), place.tobytes(), record.itemsize)], names=["h", "n", "occ"]
-            )
+                [
+                    pa.array(np.concatenate([block[cut], spread[more]])), pa.concat_arrays([_binary(cut, rec), pa.nulls(len(more), pa.binary())]),
+                    pa.concat_arrays([pa.nulls(len(cut), pa.binary()), _binary(more, done)]),
+                ],
+                names=["block", "once", "again"],
+            )
 
-    return keyed.mapInArrow(run, "h long, n int, occ binary")
+    return keyed.select("dk", "text").mapInArrow(run, "block long, once binary, again binary")
 
 
-def _repeated_anchors(index: DataFrame) -> DataFrame:
-    """``did, th, pos``: occurrences of anchors that the corpus holds more than once."""
-    total = F.sum("n").over(Window.partitionBy("h"))
-    again = index.withColumn("total", total).where("total > 1").select("occ")
+def _repeated_anchors(places: DataFrame) -> DataFrame:
+    """``dk, mark``: documents and the anchors in them that the corpus holds more than once."""
 
-    def run(batches):
+    def run(table: pa.Table) -> pa.Table:
         import numpy as np
 
-        record = np.dtype([("d", "<i8"), ("t", "<i8"), ("p", "<i4")])
-        for batch in batches:
-            place = np.frombuffer(b"".join(batch.column(0).to_pylist()), record)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(place[c])) for c in ("d", "t", "p")], names=["did", "th", "pos"]
-            )
+        once, again = np.dtype([("h", "<u8"), ("k", "<u4"), ("j", "u1")]), np.dtype([("k", "<i8"), ("m", "<i4")])
+        rec = np.frombuffer(b"".join(x for x in table["once"].to_pylist() if x), once)
+        done = np.frombuffer(b"".join(x for x in table["again"].to_pylist() if x), again)
+        order = np.argsort(rec["h"], kind="stable")
+        h = rec["h"][order]
+        first = _starts(h)
+        size = np.diff(np.append(first, len(h)))
+        rec = rec[order][np.repeat(size > 1, size)]
+        doc = rec["k"].astype(np.int64) | (rec["j"].astype(np.int64) << 32)
+        mark = (rec["h"] & np.uint64(2**MARK_BITS - 1)).astype(np.int32)
+        return pa.table({"dk": np.concatenate([doc, done["k"]]), "mark": np.concatenate([mark, done["m"]])})
 
-    return again.mapInArrow(run, "did long, th long, pos int")
+    return places.groupBy("block").applyInArrow(run, "dk long, mark int")
 
 
-def _window_lookups(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """Windows whose anchor is repeated, one a batch and key, with what the batch knows already.
+_RUN = [("d", "<i8"), ("t", "<i8"), ("s", "<i4"), ("n", "<i4")]
+_HIT = [("s", "<i4"), ("d", "<i8"), ("a", "<i4")]
 
-    ``k1, k2, did, th, start`` is the first occurrence of a window in its batch. Its other occurrences
-    there have a source already: rows with ``more`` hold a document's (start, source id, source start).
-    """
+
+def _settled(k, did, th, start):
+    """Sorts windows by key and place: (order, positions of first occurrences, of others, and their firsts')."""
+    import numpy as np
+
+    order = np.lexsort((start, th, did, k))
+    k, did, th, start = k[order], did[order], th[order], start[order]
+    order = order[_starts(k, did, th, start)]  # a repeated row is the same document
+    k = k[np.sort(_starts(k, did, th, start))]
+    first = _starts(k)
+    size = np.diff(np.append(first, len(k)))
+    later = np.ones(len(k), bool)
+    later[first] = False
+    return order[first], order[later], order[np.repeat(first, size)[later]]
+
+
+def _hits(later, source, did, th, start, sources: bool):
+    """Per document, its repeated windows: (dk left out) did, th and packed (start, source id, source start)."""
+    import numpy as np
+
+    order = np.lexsort((start[later], th[later], did[later]))
+    later, source = later[order], source[order]
+    cut = _starts(did[later], th[later])
+    if sources:
+        rec = np.empty(len(later), _HIT)
+        rec["s"], rec["d"], rec["a"] = start[later], did[source], start[source]
+    else:
+        rec = start[later].astype("<i4")
+    return did[later[cut]], th[later[cut]], _binary(cut, rec)
+
+
+def _window_lookups(candidates: DataFrame, bits: int, window: int, gram: int, sources: bool) -> DataFrame:
+    """``block, runs, keys, did, th, hits``: windows to look up, packed by block, or what a batch has settled."""
 
     def run(batches):
         import numpy as np
 
         hashes = _WordHashes()
-        found = np.dtype([("s", "<i4"), ("d", "<i8"), ("a", "<i4")])
         for batch in batches:
             parts = []
-            for part, ids, marks, texts in _located(batch, 3):
+            for part, texts in _located(batch, "text"):
                 values, counts = _words(texts, hashes)
                 at, h, starts, least = _anchors(values, counts, window, gram)
                 offsets = np.cumsum(counts) - counts
-                known = part.column(2)
-                good = known.flatten().to_numpy().astype(np.int64) + np.repeat(offsets, np.diff(known.offsets.to_numpy()))
-                starts = starts[np.isin(least, h[np.searchsorted(at, good)])]
-                doc = np.searchsorted(offsets + counts, starts, side="right")
+                known = part.column(part.schema.get_field_index("known"))
+                owner = np.repeat(np.arange(part.num_rows), np.diff(known.offsets.to_numpy()))
+                # Marks of a document and its anchors, as one number each.
+                wanted = (owner << MARK_BITS) + known.flatten().to_numpy()
+                doc_of = lambda x: np.searchsorted(offsets + counts, x, side="right")  # noqa: B023, E731
+                own = (doc_of(starts) << MARK_BITS) + (least & np.uint64(2**MARK_BITS - 1)).astype(np.int64)
+                again = np.isin(own, wanted)
+                starts, least = starts[again], least[again]
+                doc = doc_of(starts)
                 parts.append((
-                    _rolled(values, starts, window, _KEY_BASE).view(np.int64), (_rolled(values, starts, window, _SIDE_BASE) >> np.uint64(33)).astype(np.int32),
-                    ids[doc], marks[doc], (starts - offsets[doc]).astype(np.int32),
+                    (least >> np.uint64(64 - bits)).astype(np.int64), _rolled(values, starts, window, _KEY_BASE),
+                    _numpy(part, "did")[doc], _numpy(part, "th")[doc], (starts - offsets[doc]).astype(np.int32),
                 ))
-            k1, k2, did, th, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, th, did, k2, k1))
-            k1, k2, did, th, start = (x[order] for x in (k1, k2, did, th, start))
-            once = _starts(k1, k2, did, th, start)  # a repeated row is the same document
-            k1, k2, did, th, start = (x[once] for x in (k1, k2, did, th, start))
-            first = _starts(k1, k2)
-            group = np.zeros(len(k1), np.int64)
-            group[first] = 1
-            group = np.cumsum(group) - 1
-            later = np.ones(len(k1), bool)
-            later[first] = False
-            later = np.nonzero(later)[0]
-            later = later[np.lexsort((start[later], th[later], did[later]))]
-            rec = np.empty(len(later), found)
-            source = first[group[later]]
-            rec["s"], rec["d"], rec["a"] = start[later], did[source], start[source]
-            per_doc = _starts(did[later], th[later]) if len(later) else np.empty(0, np.int64)
-            own = later[per_doc]
-            more = _packed(per_doc, len(later), rec.tobytes(), found.itemsize) if len(later) else pa.array([], pa.binary())
-            spread = _mixed(did[own].view(np.uint64) ^ th[own].view(np.uint64)).view(np.int64)
-            one = lambda a, b: pa.array(np.concatenate([a, b]))
+            block, k, did, th, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+            first, later, source = _settled(k, did, th, start)
+            ids, marks, hits = _hits(later, source, did, th, start, sources)
+            first = first[np.lexsort((start[first], th[first], did[first], block[first]))]
+            block, k, did, th, start = (x[first] for x in (block, k, did, th, start))
+            new = _starts(block, did, th, start - np.arange(len(start), dtype=np.int32))
+            runs = np.empty(len(new), _RUN)
+            runs["d"], runs["t"], runs["s"], runs["n"] = did[new], th[new], start[new], np.diff(np.append(new, len(start)))
+            cut = _starts(block)
+            per_block = np.searchsorted(new, cut)
+            empty = lambda n, kind: pa.nulls(n, kind)
+            spread = (ids ^ (ids >> 17) ^ marks) & (2**bits - 1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    one(k1[first], spread), one(k2[first], np.full(len(own), -1, np.int32)), one(did[first], did[own]), one(th[first], th[own]),
-                    one(start[first], np.full(len(own), -1, np.int32)), pa.concat_arrays([pa.nulls(len(first), pa.binary()), more]),
+                    pa.array(np.concatenate([block[cut], spread])), pa.concat_arrays([_binary(per_block, runs), empty(len(ids), pa.binary())]),
+                    pa.concat_arrays([_binary(cut, k), empty(len(ids), pa.binary())]), pa.concat_arrays([empty(len(cut), pa.int64()), pa.array(ids)]),
+                    pa.concat_arrays([empty(len(cut), pa.int64()), pa.array(marks)]), pa.concat_arrays([empty(len(cut), pa.binary()), hits]),
                 ],
-                names=["k1", "k2", "did", "th", "start", "more"],
+                names=["block", "runs", "keys", "did", "th", "hits"],
             )
 
-    return candidates.mapInArrow(run, "k1 long, k2 int, did long, th long, start int, more binary")
-
-
-def _parsed(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``did, th, text, hits, more`` of every row: the repeated windows of the document with their sources."""
-    keyed = _keyed(docs)
-    places = _repeated_anchors(_anchor_index(keyed, window, gram)).groupBy("did", "th").agg(F.collect_list("pos").alias("known"))
-    # The documents' exchange by (did, th) is planned once and reused by the last join below.
-    met = keyed.join(places.withColumnsRenamed({"did": "d", "th": "t"}), (F.col("did") == F.col("d")) & (F.col("th") == F.col("t")))
-    once = met.select("did", "th", "known", "text")
-    lookups = _window_lookups(once, window, gram)
-    first = F.min(F.struct("did", "th", "start")).over(Window.partitionBy("k1", "k2"))
-    hits = (
-        lookups.withColumn("first", first)
-        .where(F.col("more").isNotNull() | (F.struct("did", "th", "start") != F.col("first")))
-        .select(
-            "did", "th", "more",
-            F.when(F.col("more").isNull(), F.struct(F.col("start").alias("s"), F.col("first.did").alias("d"), F.col("first.start").alias("a"))).alias("hit"),
-        )
-        .groupBy("did", "th")
-        .agg(F.collect_list("hit").alias("hits"), F.collect_list("more").alias("more"))
-    )
-    hits = hits.withColumnsRenamed({"did": "d", "th": "t"})
-    return keyed.join(hits, (F.col("did") == F.col("d")) & (F.col("th") == F.col("t")), "left").select("did", "th", "text", "hits", "more")
-
-
-def _sources(hits, more):
-    """Sorted (start, source id, source start) of a document's repeated windows, each once."""
+    return candidates.mapInArrow(run, "block long, runs binary, keys binary, did long, th long, hits binary")
+
+
+def _found(lookups: DataFrame, sources: bool) -> DataFrame:
+    """``did, th, hits``: repeated windows per document, block by block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        table = table.combine_chunks()
+        settled = table.filter(pa.compute.is_valid(table["hits"]))
+        runs = np.frombuffer(b"".join(x for x in table["runs"].to_pylist() if x), _RUN)
+        k = np.frombuffer(b"".join(x for x in table["keys"].to_pylist() if x), "<u8")
+        n = runs["n"].astype(np.int64)
+        did, th = np.repeat(runs["d"], n), np.repeat(runs["t"], n)
+        start = (np.repeat(runs["s"] - (np.cumsum(n) - n), n) + np.arange(len(k))).astype(np.int32)
+        _, later, source = _settled(k, did, th, start)
+        ids, marks, hits = _hits(later, source, did, th, start, sources)
+        own = pa.table({"did": pa.array(ids, pa.int64()), "th": pa.array(marks, pa.int64()), "hits": hits})
+        return pa.concat_tables([own, settled.select(["did", "th", "hits"]).cast(own.schema)])
+
+    return lookups.groupBy("block").applyInArrow(run, "did long, th long, hits binary")
+
+
+def _parsed(docs: DataFrame, window: int, gram: int, sources: bool) -> DataFrame:
+    """``did, th, text, found`` of every row: packed repeated windows, of this document or one with the same dk."""
+    keyed, bits = _keyed(docs), _block_bits(docs)
+    known = _repeated_anchors(_anchor_places(keyed, bits, window, gram)).groupBy("dk").agg(F.collect_list("mark").alias("known"))
+    # The documents' exchange by dk is planned once and reused by the last join below.
+    met = keyed.join(known, "dk").select("did", "th", "known", "text")
+    hits = _found(_window_lookups(met, bits, window, gram, sources), sources)
+    key = F.xxhash64("did", "th").bitwiseAND(F.lit(2**KEY_BITS - 1)).alias("dk")
+    hits = hits.groupBy(key).agg(F.collect_list(F.struct("did", "th", "hits")).alias("found"))
+    return keyed.join(hits, "dk", "left").select("did", "th", "text", "found")
+
+
+def _of_document(found, did: int, th: int, kind):
+    """The records of a document among those of its join key."""
     import numpy as np
 
-    found = np.dtype([("s", "<i4"), ("d", "<i8"), ("a", "<i4")])
-    rows = [(h["s"], h["d"], h["a"]) for h in hits or ()]
-    own = np.concatenate([np.array(rows, found), *[np.frombuffer(m, found) for m in more or ()]]) if rows or more else np.empty(0, found)
-    return own[np.unique(own["s"], return_index=True)[1]]
+    return np.frombuffer(b"".join(f["hits"] for f in found or () if f["did"] == did and f["th"] == th), kind)
 
 
 def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -280,8 +350,9 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
         for batch in batches:
             out = []
-            for did, hits, more in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                own = _sources(hits, more)
+            for did, th, found in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                own = _of_document(found, did, th, _HIT)
+                own = own[np.unique(own["s"], return_index=True)[1]]
                 breaks = np.nonzero((np.diff(own["s"]) != 1) | (np.diff(own["d"]) != 0) | (np.diff(own["a"]) != 1))[0] + 1
                 for part in np.split(own, breaks) if len(own) else ():
                     s, d, a = part[0].tolist()
@@ -292,7 +363,7 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                 [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "source_id", "source_start"]
             )
 
-    parsed = _parsed(docs, window, gram).select("did", "hits", "more")
+    parsed = _parsed(docs, window, gram, True).select("did", "th", "found")
     out = parsed.mapInArrow(run, "doc_id long, start int, length int, source_id long, source_start int")
     back = lambda c: F.nullif(c, F.lit(_LAST_ID)).alias(c)
     return out.select(back("doc_id"), "start", "length", back("source_id"), "source_start")
@@ -312,11 +383,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                ids, texts, hits, more = (batch.column(c).slice(at, 512) for c in range(4))
+                ids, marks, texts, found = (batch.column(c).slice(at, 512) for c in range(4))
                 n_words, n_removed, kept = [], [], []
-                for text, hit, extra in zip(texts.to_pylist(), hits.to_pylist(), more.to_pylist(), strict=True):
+                for did, th, text, own in zip(*(x.to_pylist() for x in (ids, marks, texts, found)), strict=True):
                     words = text.encode("utf-8", "surrogatepass").split()
-                    own = _sources(hit, extra)["s"]
+                    own = _of_document(own, did, th, "<i4")
                     n_words.append(len(words))
                     if len(own):
                         edge = np.zeros(len(words) + 1, np.int64)
@@ -331,7 +402,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
-    parsed = _parsed(docs, window, gram).select("did", "text", "hits", "more")
+    parsed = _parsed(docs, window, gram, False)
     out = parsed.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST_ID)))
 
