@@ -74,7 +74,7 @@ def triplets(listings: DataFrame, negatives: DataFrame, seed: int = 0, shifts: i
 
     Choices follow hashes. Members of a group stand in a ring and take the next as positive, so a large
     group makes no pairs. An anchor that mining left out takes its negative from a ring of all groups in
-    slices of the hash, trying up to ``shifts`` neighbours; if none has another label it has no row.
+    slices of the hash, trying up to ``shifts`` neighbours, and else one of two listings of different labels.
     """
     ring = Window.partitionBy("label").orderBy("turn", "id")
     rows = listings.select("id", "label").withColumn("turn", _turn(seed, "id"))
@@ -90,7 +90,11 @@ def triplets(listings: DataFrame, negatives: DataFrame, seed: int = 0, shifts: i
         found = F.when(F.lead("label", s).over(others) != F.col("label"), F.lead("id", s).over(others))
         back = F.when(F.lag("label", s).over(others) != F.col("label"), F.lag("id", s).over(others))
         spare = F.coalesce(found, back) if spare is None else F.coalesce(spare, found, back)
-    spares = every.select("id", spare.alias("spare"))
+    # The first listing of each of two labels: one of them differs from any anchor's. One row, so it is broadcast.
+    two = every.groupBy("label").agg(F.min(F.struct("turn", "id")).alias("m")).orderBy("m").limit(2)
+    two = two.agg(F.array_sort(F.collect_list(F.struct("m", "label"))).alias("two"))
+    last = F.get(F.filter("two", lambda x: x["label"] != F.col("label")), F.lit(0))["m"]["id"]
+    spares = every.withColumn("spare", spare).join(F.broadcast(two), F.lit(True)).select("id", F.coalesce("spare", last).alias("spare"))
     both = rows.select("id", "positive").join(mined, "id", "left").join(spares, "id")
     return both.select(F.col("id").alias("anchor"), "positive", F.coalesce("mined", "spare").alias("negative")).where("negative is not null")
 

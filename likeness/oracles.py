@@ -181,8 +181,10 @@ _TRIPLETS = [
     "t AS (SELECT id, label, md5('0|' || CAST(id AS VARCHAR)) AS turn FROM own)",
     "ring AS (SELECT id, coalesce(lead(id) OVER w, first_value(id) OVER w) AS positive, count(*) OVER (PARTITION BY label) AS n FROM t WINDOW w AS (PARTITION BY label ORDER BY turn, id))",
     "mined AS (SELECT query_id AS id, arg_min(cand_id, md5('1|' || CAST(query_id AS VARCHAR) || '|' || CAST(cand_id AS VARCHAR))) AS mined FROM neg GROUP BY query_id)",
+    "two AS (SELECT label, min(turn) AS turn, arg_min(id, turn) AS id FROM t GROUP BY label ORDER BY 2 LIMIT 2)",
     """spare AS (SELECT id, coalesce(CASE WHEN lead(label, 1) OVER w <> label THEN lead(id, 1) OVER w END, CASE WHEN lag(label, 1) OVER w <> label THEN lag(id, 1) OVER w END,
-      CASE WHEN lead(label, 2) OVER w <> label THEN lead(id, 2) OVER w END, CASE WHEN lag(label, 2) OVER w <> label THEN lag(id, 2) OVER w END) AS spare
+      CASE WHEN lead(label, 2) OVER w <> label THEN lead(id, 2) OVER w END, CASE WHEN lag(label, 2) OVER w <> label THEN lag(id, 2) OVER w END,
+      (SELECT arg_min(two.id, two.turn) FROM two WHERE two.label <> t.label)) AS spare
       FROM t WINDOW w AS (PARTITION BY substr(turn, 1, 1) ORDER BY turn, id))""",
 ]
 
