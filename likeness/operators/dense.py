@@ -18,7 +18,7 @@ def look_up(frame: DataFrame, vectors: DataFrame) -> DataFrame:
     missing = frame.join(vectors, "id", "left_anti")
     n = missing.count()
     if n:
-        raise KeyError(f"{n} listings have no vector, e.g. {missing.first()['id']}")
+        raise KeyError(f"no vector for {n} rows; one of them is {missing.first()['id']}")
     return frame.select("id").join(vectors.select("id", "embedding"), "id")
 
 
@@ -93,7 +93,7 @@ def store(config: dict | None):
     config = config or {"type": "numpy"}
     kind = config.get("index", "flat") if config["type"] == "faiss" else config["type"]
     if kind not in STORES:
-        raise ValueError(f"unknown store {kind!r}; known: {sorted(STORES)}")
+        raise ValueError(f"no vector store is called {kind!r}; there are {sorted(STORES)}")
     return STORES[kind]
 
 

@@ -16,7 +16,7 @@ def group_split(listings: DataFrame, fractions: tuple[float, ...] = (0.7, 0.1, 0
     The order is taken by hash prefix first, so that ranking the groups is not one task's work.
     """
     if not math.isclose(sum(fractions), 1.0, rel_tol=1e-5):
-        raise ValueError("fractions must sum to 1")
+        raise ValueError("the shares of the splits have to add up to one")
     turn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("label").cast("string")))
     groups = listings.select("label").distinct().withColumn("turn", turn).withColumn("part", F.substring("turn", 1, 3))
     parts = groups.groupBy("part").agg(F.count("*").alias("n"))
@@ -49,10 +49,10 @@ def uncovered(listings: DataFrame, split: DataFrame) -> DataFrame:
 def with_split(listings: DataFrame, split: DataFrame, name: str) -> DataFrame:
     """Listings of one split; ValueError for an unknown split, a listing not covered, or an id that is not unique."""
     if name not in SPLITS:
-        raise ValueError(f"unknown split {name!r}")
+        raise ValueError(f"no split is called {name!r}")
     for side, df in (("listings", listings), ("split", split)):
         if df.groupBy("id").count().where("count > 1").limit(1).count():
-            raise ValueError(f"ids of the {side} must be unique")
+            raise ValueError(f"repeated ids among the {side}")
     if uncovered(listings, split).limit(1).count():
-        raise ValueError("split file does not cover every listing; regenerate it")
+        raise ValueError("some listings are in no split")
     return listings.join(split, "id").where(F.col("split") == name).drop("split")

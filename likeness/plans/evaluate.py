@@ -66,10 +66,10 @@ def run(spark: SparkSession, config: dict, split: str, results: str, unlock_test
     The val split tunes the threshold; the test split needs unlocking and takes val's threshold.
     """
     if split == "test" and not unlock_test:
-        raise PermissionError("the test split is locked; unlock_test opens it")
+        raise PermissionError("test listings stay closed until unlock_test is given")
     options = {"k": 50, "latency_sample": 5, "min_matches": 0, "relative": 0.0, "distractors": []} | config.get("eval", {})
     if split in options["distractors"] or "test" in options["distractors"]:
-        raise ValueError("distractors may not include the evaluated split or the test split")
+        raise ValueError("neither test listings nor the queries' own split can distract")
     k = int(options["k"])
     queries = split_frame(spark, config, split)
     began = time.perf_counter()

@@ -45,12 +45,12 @@ def _fusion(
     pool: DataFrame, queries: DataFrame, k: int, *, members: list[Retriever], method: str = "rrf", rrf_k: int = 60, model_path: str | None = None
 ) -> DataFrame:
     if method not in ("rrf", "learned"):
-        raise ValueError("method must be 'rrf' or 'learned'")
+        raise ValueError(f"no way of fusing is called {method!r}")
     lists = [m(pool, queries, k) for m in members]
     if method == "rrf":
         return fusion.rrf(lists, k, rrf_k)
     if not model_path:
-        raise ValueError("method 'learned' needs model_path")
+        raise ValueError("learned fusion reads its weights from model_path, which is not set")
     model = tables.load_model(model_path, len(members))
     return fusion.learned(lists, k, model["coef"], model["intercept"])
 
@@ -78,7 +78,7 @@ def build(config: dict) -> Retriever:
     options = dict(config)
     kind = options.pop("type")
     if kind not in REGISTRY:
-        raise ValueError(f"unknown retriever {kind!r}; known: {sorted(REGISTRY)}")
+        raise ValueError(f"no retriever is registered as {kind!r}; there are {sorted(REGISTRY)}")
     if "base" in options:
         options["base"] = build(options["base"])
     if "members" in options:
@@ -90,6 +90,6 @@ def fusion_config(config: dict) -> dict:
     """The innermost wrapper's fusion table."""
     while config.get("type") != "fusion":
         if "base" not in config:
-            raise ValueError("config has no fusion retriever")
+            raise ValueError("nothing in this configuration fuses lists")
         config = config["base"]
     return config

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from likeness.functions.text import decode_title
 
-#: Columns of a listings file that have to be there, with their types.
+# Columns of a listings file that have to be there, with their types.
 LISTING_COLUMNS = {"posting_id": "string", "image": "string", "image_phash": "string", "title": "string", "label_group": "bigint"}
 
 
@@ -22,7 +22,7 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: dict[str, str]
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     missing = [c for c in columns if c not in raw.columns]
     if missing:
-        raise ValueError(f"{path} is missing columns: {missing}")
+        raise ValueError(f"{path} lacks the columns {missing}")
     return raw.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
 
 
@@ -31,10 +31,10 @@ def load_listings(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     missing = [c for c in LISTING_COLUMNS if c not in raw.columns]
     if missing:
-        raise ValueError(f"{path} is missing columns: {missing}")
+        raise ValueError(f"{path} lacks the columns {missing}")
     typed = raw.select(*[F.col(c).cast(LISTING_COLUMNS.get(c, "string")).alias(c) for c in raw.columns])
     if typed.groupBy("posting_id").count().where("count > 1").limit(1).count():
-        raise ValueError("posting_id values must be unique")
+        raise ValueError("a posting_id occurs twice")
     return typed.withColumn("title", decode_title(F.col("title")))
 
 
@@ -69,7 +69,7 @@ def load_model(path: str, members: int | None = None) -> dict:
     """Coefficients and intercept of a linear model, checked against the number of members."""
     model = json.loads(Path(path).read_text())
     if members is not None and len(model["coef"]) != 2 * members:
-        raise ValueError(f"{path} was trained for {len(model['coef']) // 2} members, not {members}")
+        raise ValueError(f"{path} has {len(model['coef'])} weights; {members} members need {2 * members}")
     return model
 
 
@@ -79,7 +79,7 @@ def load_config(path: str) -> dict:
         config = tomllib.load(file)
     for key in ("name", "data", "retriever"):
         if key not in config:
-            raise ValueError(f"{path}: missing [{key}]")
+            raise ValueError(f"{path} has no entry {key}")
     return config
 
 
@@ -87,7 +87,7 @@ def load_threshold(results: str, name: str) -> float:
     """The threshold that the validation run of a configuration has stored."""
     run = Path(results) / "runs" / f"{name}__val.json"
     if not run.exists():
-        raise FileNotFoundError(f"run {name} on the val split first; its threshold is reused here")
+        raise FileNotFoundError(f"no threshold yet: {name} has not been run on val")
     return json.loads(run.read_text())["metrics"]["threshold"]
 
 

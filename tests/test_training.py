@@ -20,7 +20,7 @@ def test_group_split_keeps_groups_together(spark):
     assert sizes == [105, 15, 30]
     counts = {r["split"]: r["groups"] for r in splits.split_counts(rows, splits.group_split(rows, seed=7)).collect()}
     assert counts == dict(zip(splits.SPLITS, sizes))
-    with pytest.raises(ValueError, match="sum to 1"):
+    with pytest.raises(ValueError, match="add up"):
         splits.group_split(rows, (0.5, 0.1, 0.1))
 
 
