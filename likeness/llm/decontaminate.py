@@ -3,7 +3,8 @@
 Texts and benchmark items are sequences of lower-cased words. An item occurs in a document if some
 stretch of the document is within ``edits`` of the item's words of it, by insertions, deletions and
 replacements. Windows of the item's size are placed where the document shares enough word pairs with
-the item: an edit spoils two pairs at most, so a stretch within the limit always has such a place.
+the item on near diagonals: an edit spoils two pairs at most and shifts the rest by one word, so a stretch
+within the limit always has such a place.
 A window and the item are embedded by the same random walks, which turn edit distance into Hamming
 distance, and meet if they agree on the sampled coordinates of one of the repetitions, whose number is
 planned for the target recall. What meets is verified by the exact edit distance.
@@ -229,10 +230,12 @@ class Matcher:
             posting = np.repeat(self.bench.first[c] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
             p, item, offset = np.repeat(p, sizes), self.bench.of_item[posting], self.bench.offset[posting]
             own = self.lengths[item] == m
-            order = np.lexsort((p[own], item[own]))
-            p, item, offset = p[own][order], item[own][order], offset[own][order]
-            kept = _dense(p + item * (total + gap), need, width)
-            windows = np.unique(np.stack([item[kept], p[kept] - offset[kept]]), axis=1)
+            item, diagonal = item[own], (p - offset)[own]
+            order = np.lexsort((diagonal, item))
+            item, diagonal = item[order], diagonal[order]
+            # Edits shift what follows: the pairs that stay lie on diagonals at most as far apart as edits are allowed.
+            kept = _dense(diagonal + item * 2 * (total + gap), need, width - m + 1)
+            windows = np.unique(np.stack([item[kept], diagonal[kept]]), axis=1)
             doc = np.searchsorted(begins, windows[1] + gap // 2, side="right") - 1
             for n, i, s in zip(doc.tolist(), *windows.tolist(), strict=True):
                 yield n, i, s - int(begins[n]), symbols[begins[n] : begins[n] + counts[n]]
