@@ -280,7 +280,7 @@ class Matcher:
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
     """The benchmark's rows in blocks of about BLOCK_BYTES; an id is in one block."""
-    rows = benchmark.select("item_id", fill(F.col("text")).alias("text"))
+    rows = benchmark.select("item_id", fill(F.col("text")).alias("text")).distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = math.ceil(size / BLOCK_BYTES)
     part = F.pmod(F.xxhash64("item_id"), F.lit(max(n, 1)))

@@ -84,7 +84,8 @@ def _labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select("doc_id", fill(F.col("text")).alias("_text"))
     # The chosen side has 2 * SAMPLE_DOCS rows of three numbers at most, so it is broadcast.
-    rows = texts.join(F.broadcast(chosen), "doc_id")
+    # An id that many rows repeat counts once, however many there are.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_quality", "_turn").agg(F.min("_text").alias("_text"))
     order = Window.partitionBy("_quality").orderBy("_turn", "doc_id", "_text").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_sum", F.sum(F.octet_length("_text")).over(order)).where(
         F.col("_sum") <= SAMPLE_BYTES // 2
