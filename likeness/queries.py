@@ -332,7 +332,8 @@ def final_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def final_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics of the final candidates at the tuned threshold, at least one match, near-ties accepted: a row."""
     rows = listings(spark, sf_dir).select("id", "label", F.lit(True).alias("is_query"))
-    matches = lists.labelled(final_candidates(spark, sf_dir), rows.select("id", "label"))
+    # Three metrics read the lists; kept in memory or on disk, and recomputed where an executor is lost.
+    matches = lists.labelled(final_candidates(spark, sf_dir), rows.select("id", "label")).persist()
     truth = metrics.group_sizes(rows)
     curve = metrics.tune_threshold(metrics.f1_curve(matches, truth, min_matches=1, relative=0.8))
     out = curve.select("threshold", r9("f1"))
