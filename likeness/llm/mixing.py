@@ -15,7 +15,7 @@ from likeness.llm.common import fill, materialize, word_count
 
 MAX_EPOCHS = 3
 #: A (source, slot) run is summed in one task; slots hold about so many documents each.
-SLOT_DOCS = 20_000
+SLOT_DOCS = 500
 
 
 def source_targets(stats: DataFrame, max_epochs: int = MAX_EPOCHS, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -67,7 +67,7 @@ def schedule(docs: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCHS) -> t
     stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(stats, max_epochs)
     # Running sums without one task per source: order by the leading digits of the shuffle key first.
-    slots = max(16, min(1 << 20, -(-n // SLOT_DOCS)))
+    slots = max(64, min(1 << 20, -(-n // SLOT_DOCS)))
     lead = F.conv(F.substring("_turn", 1, 8), 16, 10).cast("long")
     sized = sized.withColumn("_slot", F.floor(lead * F.lit(slots) / F.lit(1 << 32)).cast("int"))
     sums = sized.groupBy("source", "_slot").agg(F.sum("size").alias("_n"))
