@@ -62,6 +62,8 @@ class Scheme:
     words64: int
     max_bits: int
     keys: tuple[tuple[int, ...], ...]
+    #: Whether a shingle that a text repeats votes once instead of as often as it occurs.
+    distinct: bool = False
 
     @property
     def least_shared(self) -> int:
@@ -73,14 +75,14 @@ class Scheme:
 CONTRACT = Scheme(4, 1, 4, tuple(covering_triples()))
 
 
-def similarity_scheme(similarity: float = 0.8, shingle: int = 5, words64: int = 8, keys: int = 64, margin: float = 0.06) -> Scheme:
+def similarity_scheme(similarity: float = 0.8, shingle: int = 5, words64: int = 8, keys: int = 64, margin: float = 0.06, distinct: bool = False) -> Scheme:
     """Bits that differ at a Jaccard similarity of equally large shingle sets, by the angle between them.
 
     The similarity is estimated from the bits with a standard error of 0.04 at 0.8; pairs count down to
     ``margin`` below it, so that nine in ten at the threshold do.
     """
     angle = math.acos(2 * (similarity - margin) / (1 + similarity - margin))
-    return Scheme(shingle, words64, round(64 * words64 * angle / math.pi), tuple(spread_pairs(8 * words64, keys)))
+    return Scheme(shingle, words64, round(64 * words64 * angle / math.pi), tuple(spread_pairs(8 * words64, keys)), distinct)
 
 
 #: Upper to lower case for A-Z only, as bytes.
@@ -130,6 +132,8 @@ def fingerprint(text: str | None, scheme: Scheme = CONTRACT) -> bytes:
         begins, n = ends - sizes, len(words) - shingle + 1
         cut = zip(begins[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
         hashes = np.fromiter((hash_of(line[a:b], SEED) for a, b in cut), np.uint64, n)
+    if scheme.distinct:
+        hashes = np.unique(hashes)
     lanes = [hashes]
     for lane in range(1, scheme.words64):
         x = (hashes ^ np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -320,7 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """As ``near_duplicates``, linking texts whose shingle sets are estimated to be that similar or more."""
-    return _grouped(docs, similarity_scheme(similarity, shingle))
+    return _grouped(docs, similarity_scheme(similarity, shingle, distinct=True))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

@@ -99,6 +99,18 @@ def test_similar_documents_are_found_and_others_left(spark):
     assert sorted(i for i in ids if i is not None) == sorted(i for i, g in got.items() if i == g) and ids.count(None) == 2
 
 
+def test_a_line_that_two_texts_repeat_does_not_make_them_similar(spark):
+    rng = random.Random(5)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for i in range(12):
+        line = own(10 + i)
+        rows += [(2 * i + j, " ".join([own(104), *[line] * 20])) for j in (0, 1)]
+    assert max(jaccard(rows[i][1], rows[i + 1][1]) for i in range(0, len(rows), 2)) < 0.2
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _ in rows]
+
+
 def test_components_of_odd_graphs(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(500, 500)] + [(100, i) for i in range(101, 180)] + [(200 + rng.randrange(50), 200 + rng.randrange(50)) for _ in range(40)] + [(-5, 7), (-5, 7)]
