@@ -8,7 +8,8 @@ Two settings share this machinery. ``near_duplicates`` links 64-bit fingerprints
 a bit spoils one byte only, so four of the eight bytes stay, and the 20 triples of positions used as keys meet
 every four positions: no pair is missed. ``similar_documents`` looks for similarity of 0.8, which is
 too loose for such a guarantee; it takes longer fingerprints and more keys, of which a pair at the
-threshold shares one in 49 of 50 cases.
+threshold shares one in 99.8 of 100 cases, and these only propose pairs: a link is one whose shingle
+sets have that Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -64,25 +65,32 @@ class Scheme:
     keys: tuple[tuple[int, ...], ...]
     #: Whether a shingle that a text repeats votes once instead of as often as it occurs.
     distinct: bool = False
+    #: 64-bit words that a posting carries, to which max_bits refers; 0 for all.
+    part64: int = 0
+
+    @property
+    def carried64(self) -> int:
+        return self.part64 or self.words64
 
     @property
     def least_shared(self) -> int:
         """Positional bytes that linked fingerprints share at least, those of one key if nothing more is guaranteed."""
-        return max(len(self.keys[0]), 8 * self.words64 - self.max_bits)
+        return max(0 if self.part64 else len(self.keys[0]), 8 * self.carried64 - self.max_bits)
 
 
 #: Four-word shingles, 64 bits, up to four of them different.
 CONTRACT = Scheme(4, 1, 4, tuple(covering_triples()))
 
 
-def similarity_scheme(similarity: float = 0.8, shingle: int = 5, words64: int = 8, keys: int = 64, margin: float = 0.06, distinct: bool = False) -> Scheme:
+def similarity_scheme(similarity: float = 0.8, shingle: int = 5, words64: int = 8, keys: int = 128, part64: int = 3, distinct: bool = False) -> Scheme:
     """Bits that differ at a Jaccard similarity of equally large shingle sets, by the angle between them.
 
-    The similarity is estimated from the bits with a standard error of 0.04 at 0.8; pairs count down to
-    ``margin`` below it, so that nine in ten at the threshold do.
+    Pairs at the threshold differ in so many of the carried bits give or take a standard error; six
+    errors more are let through, as what is proposed is compared exactly.
     """
-    angle = math.acos(2 * (similarity - margin) / (1 + similarity - margin))
-    return Scheme(shingle, words64, round(64 * words64 * angle / math.pi), tuple(spread_pairs(8 * words64, keys)), distinct)
+    share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * part64
+    most = round(bits * share + 6 * math.sqrt(bits * share * (1 - share)))
+    return Scheme(shingle, words64, most, tuple(spread_pairs(8 * words64, keys)), distinct, part64)
 
 
 #: Upper to lower case for A-Z only, as bytes.
@@ -111,17 +119,14 @@ def _bit_counts(hashes):
     return counts
 
 
-def fingerprint(text: str | None, scheme: Scheme = CONTRACT) -> bytes:
-    """The fingerprint of a text, highest byte first; all zero for a text without words.
-
-    The first 64 bits stem from the shingles' XXH64 itself, further ones from numbers mixed from it.
-    """
+def _shingles(text: str | None, scheme: Scheme):
+    """XXH64 of the shingles of a text, in their order or, where each votes once, sorted; none for a text without words."""
     import numpy as np
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return bytes(8 * scheme.words64)
+        return np.empty(0, np.uint64)
     hash_of, shingle = xxhash.xxh64_intdigest, scheme.shingle
     line = b" ".join(words)
     if len(words) <= shingle:
@@ -132,8 +137,16 @@ def fingerprint(text: str | None, scheme: Scheme = CONTRACT) -> bytes:
         begins, n = ends - sizes, len(words) - shingle + 1
         cut = zip(begins[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
         hashes = np.fromiter((hash_of(line[a:b], SEED) for a, b in cut), np.uint64, n)
-    if scheme.distinct:
-        hashes = np.unique(hashes)
+    return np.unique(hashes) if scheme.distinct else hashes
+
+
+def _majority(hashes, scheme: Scheme) -> bytes:
+    """The fingerprint of shingles.
+
+    The first 64 bits stem from the shingles' XXH64 itself, further ones from numbers mixed from it.
+    """
+    import numpy as np
+
     lanes = [hashes]
     for lane in range(1, scheme.words64):
         x = (hashes ^ np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -142,6 +155,11 @@ def fingerprint(text: str | None, scheme: Scheme = CONTRACT) -> bytes:
     return np.packbits(2 * _bit_counts(np.stack(lanes, axis=1)) > len(hashes)).tobytes()
 
 
+def fingerprint(text: str | None, scheme: Scheme = CONTRACT) -> bytes:
+    """The fingerprint of a text, highest byte first; all zero for a text without words."""
+    return _majority(_shingles(text, scheme), scheme)
+
+
 def fingerprints(docs: DataFrame, scheme: Scheme = CONTRACT) -> DataFrame:
     """``doc_id, fp`` of each row of ``docs``."""
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("_text"))
@@ -169,8 +187,10 @@ def _near(x, y, scheme: Scheme):
     import numpy as np
 
     xor = np.ascontiguousarray(x ^ y)
-    tally = (xor.view(np.uint8).reshape(len(xor), -1) == 0).sum(axis=1)
-    kept = np.nonzero(tally >= scheme.least_shared)[0]
+    kept = np.arange(len(xor))
+    if scheme.least_shared:
+        tally = (xor.view(np.uint8).reshape(len(xor), -1) == 0).sum(axis=1)
+        kept = np.nonzero(tally >= scheme.least_shared)[0]
     return kept[np.bitwise_count(xor[kept]).sum(axis=1, dtype=np.int64) <= scheme.max_bits]
 
 
@@ -193,8 +213,11 @@ def _forest(pairs):
     return kept
 
 
-def _short_lists(prints, offsets, scheme: Scheme):
-    """Links within many short lists at once: members at distance 1, 2, ... of all lists."""
+def _short_lists(prints, offsets, scheme: Scheme, roots=None):
+    """Links within many short lists at once: members at distance 1, 2, ... of all lists.
+
+    A spanning forest, or with ``roots`` all links between members of different roots.
+    """
     import numpy as np
 
     sizes, pairs = np.diff(offsets), []
@@ -204,9 +227,20 @@ def _short_lists(prints, offsets, scheme: Scheme):
         at = at[at + gap < ends[at - offsets[0]]]
         for lo in range(0, len(at), 1 << 16):
             i = at[lo : lo + (1 << 16)]
+            i = i if roots is None else i[roots[i] != roots[i + gap]]
             near = i[_near(prints[i], prints[i + gap], scheme)]
             pairs += zip(near.tolist(), (near + gap).tolist(), strict=True)
-    return _forest(pairs)
+    return _forest(pairs) if roots is None else pairs
+
+
+def _apart(prints, roots, left, right, scheme: Scheme):
+    """All links between two rows of members, or within one, whose members have different roots."""
+    edges = []
+    for n, i in enumerate(left.tolist()):
+        other = left[n + 1 :] if right is None else right
+        other = other[roots[other] != roots[i]]
+        edges += [(i, j) for j in other[_near(prints[other], prints[i : i + 1], scheme)].tolist()]
+    return edges
 
 
 def _long_list(left, right, scheme: Scheme):
@@ -234,12 +268,15 @@ def _long_list(left, right, scheme: Scheme):
     return edges
 
 
-def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+def links(nodes: DataFrame, scheme: Scheme, apart: bool = False) -> DataFrame:
     """Edges ``a, b`` between nodes (node long, fp binary) that join whatever the links of the scheme join.
 
     Each posting list yields a spanning forest of its links, so the edges grow with the lists and
-    not with their squares, and components are those of all links.
+    not with their squares, and components are those of all links. With ``apart``, the nodes have a
+    ``root`` (long), and each list yields all its links between different roots instead.
     """
+    root = F.col("root") if apart else F.lit(0).cast("long")
+    nodes = nodes.select("node", "fp", root.alias("root"))
 
     def post(batches):
         import numpy as np
@@ -253,12 +290,13 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
                     keys[:, n] = n
                     for p in places:
                         keys[:, n] = (keys[:, n] << 8) | octets[:, p]
-                own = np.repeat(np.arange(part.num_rows), len(scheme.keys))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own))], names=["key", "node", "fp"]
-                )
+                own = pa.array(np.repeat(np.arange(part.num_rows), len(scheme.keys)))
+                carried = pa.array([fp[: 8 * scheme.carried64] for fp in part.column(1).to_pylist()], pa.binary())
+                columns = [part.column(0), carried, *([part.column(2)] if apart else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[c.take(own) for c in columns]], names=names)
 
-    postings = nodes.select("node", "fp").mapInArrow(post, "key long, node long, fp binary")
+    names = ["key", "node", "fp", *(["root"] if apart else [])]
+    postings = nodes.mapInArrow(post, "key long, node long, fp binary" + ", root long" * apart)
     narrow = nodes.select("fp", F.explode(F.array(*[F.concat(F.lit(bytes([n])), *[F.substring("fp", p + 1, 1) for p in places]) for n, places in enumerate(scheme.keys)])).alias("k"))
     number = F.conv(F.hex("k"), 16, 10).cast("long").alias("key")
     lengths = narrow.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(number, "n")
@@ -268,8 +306,9 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     # A long list: its chunk meets every other chunk; the pair (x, y) of chunks with x <= y is one task's work.
     met = met.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
     lists = met.groupBy("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(
-        F.collect_list(F.struct("own", "node", "fp")).alias("members")
+        F.collect_list(F.struct("own", *names[1:])).alias("members"), *([(F.min("root") < F.max("root")).alias("several")] if apart else [])
     ).where(F.size("members") > 1)
+    lists = lists.where("several").drop("several") if apart else lists
 
     def run(batches):
         import numpy as np
@@ -277,7 +316,8 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
         for batch in batches:
             x, y, members = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
             flat = members.flatten()
-            own, node, prints = (flat.field(0).to_numpy(), flat.field(1).to_numpy(), _numbers(flat.field(2), scheme.words64))
+            own, node, prints = (flat.field(0).to_numpy(), flat.field(1).to_numpy(), _numbers(flat.field(2), scheme.carried64))
+            roots = flat.field(3).to_numpy() if apart else None
             offsets = members.offsets.to_numpy().astype(np.int64) - members.offsets[0].as_py()
             sizes = np.diff(offsets)
             edges = []
@@ -285,10 +325,13 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
             if short.any():
                 kept = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in np.nonzero(short)[0]])
                 starts = np.append(0, np.cumsum(sizes[short]))
-                edges += [(kept[i], kept[j]) for i, j in _short_lists(prints[kept], starts, scheme)]
+                edges += [(kept[i], kept[j]) for i, j in _short_lists(prints[kept], starts, scheme, roots[kept] if apart else None)]
             for i in np.nonzero(~short)[0].tolist():
                 at = np.arange(offsets[i], offsets[i + 1])
-                if x[i] == y[i]:
+                if apart:
+                    left, right = at[own[at] == x[i]], None if x[i] == y[i] else at[own[at] == y[i]]
+                    edges += _apart(prints, roots, left, right, scheme)
+                elif x[i] == y[i]:
                     edges += [(at[a], at[b]) for a, b in _long_list(prints[at], None, scheme)]
                 else:
                     at = np.concatenate([at[own[at] == x[i]], at[own[at] == y[i]]])
@@ -322,9 +365,82 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _grouped(docs, CONTRACT)
 
 
+def _described(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """``doc_id, fp, node, _row``: node is a hash of the set of shingles."""
+    schema = rows.select("doc_id", F.lit(b"").alias("fp"), F.lit(0).cast("long").alias("node"), "_row").schema
+
+    def run(batches):
+        import numpy as np
+        import xxhash
+
+        for batch in batches:
+            for part, (texts,) in slices(batch, ["_text"]):
+                sets = [_shingles(t, scheme) for t in texts]
+                fps = pa.array([_majority(x, scheme) for x in sets], pa.binary())
+                node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), fps, pa.array(node), part.column(2)], names=["doc_id", "fp", "node", "_row"])
+
+    return rows.select("doc_id", "_text", "_row").mapInArrow(run, schema)
+
+
+def _sets(rows: DataFrame, chosen: DataFrame, scheme: Scheme) -> DataFrame:
+    """``node, shingles`` of the chosen nodes (node, _row): their sorted shingles, eight bytes each."""
+
+    def run(batches):
+        for batch in batches:
+            for part, (texts,) in slices(batch, ["_text"]):
+                sets = pa.array([_shingles(t, scheme).tobytes() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["node", "shingles"])
+
+    texts = rows.join(chosen, "_row").select("node", "_text")
+    return texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def _agreed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sets of shingles have that Jaccard similarity or more."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            kept = []
+            for part, (x, y) in slices(batch, ["x", "y"]):
+                for one, other in zip(x, y, strict=True):
+                    sizes = len(one) // 8, len(other) // 8
+                    if min(sizes) < similarity * max(sizes):
+                        kept.append(False)
+                        continue
+                    both = len(np.intersect1d(np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64), assume_unique=True))
+                    kept.append(both / (sum(sizes) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    x, y = (sets.select(F.col("node").alias(n), F.col("shingles").alias(c)) for n, c in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """As ``near_duplicates``, linking texts whose shingle sets are estimated to be that similar or more."""
-    return _grouped(docs, similarity_scheme(similarity, shingle, distinct=True))
+    """As ``near_duplicates``, linking texts whose shingle sets have that Jaccard similarity or more.
+
+    Fingerprints propose pairs, the sets decide. First each posting list proposes a spanning forest,
+    then what lies between the components that the confirmed part of it leaves.
+    """
+    scheme = similarity_scheme(similarity, shingle, distinct=True)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("_text")).withColumn("_row", F.xxhash64("doc_id", "_text"))
+    known = materialize(_described(rows, scheme), "similar")
+    nodes = materialize(known.groupBy("node", "fp").agg(F.min("doc_id").alias("doc_id"), F.min("_row").alias("_row")), "similar-nodes")
+    ordered = lambda edges: edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    proposed = materialize(ordered(links(nodes, scheme)), "similar-pairs")
+    met = proposed.select(F.col("a").alias("node")).unionByName(proposed.select(F.col("b").alias("node"))).distinct()
+    inside = materialize(nodes.join(met, "node").select("node", "fp", "_row"), "similar-met")
+    sets = materialize(_sets(rows, inside.select("node", "_row"), scheme), "similar-sets")
+    linked = materialize(_agreed(proposed, sets, similarity), "similar-links")
+    rooted = lambda df, roots: df.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
+    rest = ordered(links(rooted(inside, connected_components(linked)), scheme, apart=True)).join(proposed, ["a", "b"], "left_anti")
+    linked = linked.unionByName(materialize(_agreed(rest, sets, similarity), "similar-rest"))
+    named = rooted(nodes, connected_components(linked))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_node = named.select("node", "root").join(least, "root").select("node", "component_id")
+    return known.join(by_node, "node").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

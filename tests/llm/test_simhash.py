@@ -111,6 +111,24 @@ def test_a_line_that_two_texts_repeat_does_not_make_them_similar(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _ in rows]
 
 
+def test_links_are_those_of_the_exact_similarity(spark):
+    rng = random.Random(6)
+    texts = []
+    for i in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 9, 30, 100, 250]))]
+        texts.append(words)
+        for _ in range(rng.choice([1, 1, 3])):
+            texts.append(list(words))
+            for _ in range(rng.randint(len(words) // 60, max(1, len(words) // 25))):
+                texts[-1][rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+    texts += [["a"], ["A"], ["b"], []]
+    texts = [" ".join(t) for t in texts]
+    exact = {(a, b): jaccard(texts[a].lower(), texts[b].lower()) for a, b in combinations(range(len(texts)), 2) if b - a < 4}
+    assert sum(0.7 <= j < 0.8 for j in exact.values()) > 30 and sum(0.8 <= j < 0.85 for j in exact.values()) > 20
+    got = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == components(range(len(texts)), [p for p, j in exact.items() if j >= 0.8])
+
+
 def test_components_of_odd_graphs(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(500, 500)] + [(100, i) for i in range(101, 180)] + [(200 + rng.randrange(50), 200 + rng.randrange(50)) for _ in range(40)] + [(-5, 7), (-5, 7)]
