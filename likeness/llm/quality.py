@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from likeness.llm.common import fill, slices
+from likeness.llm.common import fill, materialize, slices
 
 #: Fitting reads at most so many labelled documents of each class and so many bytes of their text.
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 24_000_000
@@ -70,18 +70,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
-    """At most SAMPLE_DOCS documents of each class, in an order that a hash of the id gives."""
+def _labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, str]], dict[int, int]]:
+    """At most SAMPLE_DOCS documents of each class, in an order that a hash of the id gives; how many each class has in all."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min("quality").cast("int").alias("_quality"))
         .withColumn("_turn", F.xxhash64("doc_id"))
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
     )
+    known = materialize(known, "quality-labels")
     chosen = None
     for quality in (0, 1):
         part = known.where(F.col("_quality") == quality).orderBy("_turn", "doc_id").limit(SAMPLE_DOCS)
         chosen = part if chosen is None else chosen.unionByName(part)
+    counts = {r["_quality"]: r["n"] for r in known.where(F.col("_quality").isin(0, 1)).groupBy("_quality").agg(F.count("*").alias("n")).collect()}
     texts = docs.select("doc_id", fill(F.col("text")).alias("_text"))
     # The chosen side has 2 * SAMPLE_DOCS rows of three numbers at most, so it is broadcast.
     # An id that many rows repeat counts once, however many there are.
@@ -90,7 +93,7 @@ def _labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]
     rows = rows.withColumn("_sum", F.sum(F.octet_length("_text")).over(order)).where(
         F.col("_sum") <= SAMPLE_BYTES // 2
     )
-    return [(r["_quality"], r["_text"]) for r in rows.orderBy("_turn", "doc_id", "_text").collect()]
+    return [(r["_quality"], r["_text"]) for r in rows.orderBy("_turn", "doc_id", "_text").collect()], counts
 
 
 def _dictionary(texts: list[str], size: int) -> tuple[bytes, bool]:
@@ -105,18 +108,18 @@ def _dictionary(texts: list[str], size: int) -> tuple[bytes, bool]:
         return b"".join(blocks)[:size], True
 
 
-def _logistic(x: list[float], y: list[int]) -> tuple[float, float]:
+def _logistic(x: list[float], y: list[int], weight: list[float]) -> tuple[float, float]:
     """Slope and intercept by Newton's method, with a slight pull to zero on the standardised slope."""
     import numpy as np
 
-    x, y = np.asarray(x), np.asarray(y, dtype=float)
+    x, y, weight = np.asarray(x), np.asarray(y, dtype=float), np.asarray(weight)
     mean, spread = x.mean(), max(x.std(), 1e-9)
     design, w = np.column_stack([(x - mean) / spread, np.ones(len(x))]), np.zeros(2)
     pull = np.array([0.02, 1e-6]) * len(x) ** 0.5
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         step = np.linalg.solve(
-            (design * (p * (1 - p))[:, None]).T @ design + np.diag(pull), design.T @ (y - p) - pull * w
+            (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag(pull), design.T @ (weight * (y - p)) - pull * w
         )
         w += np.clip(step, -4, 4)
     return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
@@ -125,11 +128,12 @@ def _logistic(x: list[float], y: list[int]) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
     """Fit on a bounded sample of labelled documents that are not held out.
 
-    Every second sampled document of a class goes to its dictionary, the rest set the curve. Where
+    Every second sampled document of a class goes to its dictionary, the rest set the curve. There a
+    class weighs as much as it has labelled documents in all, however few of them are sampled. Where
     a class has no labelled document, the model gives one half to everything. Repeated labels of a
     document count once, the lowest; labels without a document, and null labels, are ignored.
     """
-    sample = _labelled_sample(docs, labels)
+    sample, counts = _labelled_sample(docs, labels)
     by_class = {q: [t for k, t in sample if k == q and t] for q in (0, 1)}
     if not by_class[0] or not by_class[1]:
         return CompressionModel(b"", b"", True, 0.0, 0.0, 0.0)
@@ -146,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
     middle = sum(plain[1]) / len(plain[1])
     feature = CompressionModel(good, bad, raw_bad, 0.0, 0.0, middle).scorer()
     x = {q: [feature(t) for t in texts] for q, texts in curve.items()}
-    slope, intercept = _logistic(x[0] + x[1], [0] * len(x[0]) + [1] * len(x[1]))
+    share = {q: counts[q] / sum(counts.values()) * (len(x[0]) + len(x[1])) / len(x[q]) for q in (0, 1)}
+    slope, intercept = _logistic(x[0] + x[1], [0] * len(x[0]) + [1] * len(x[1]), [share[0]] * len(x[0]) + [share[1]] * len(x[1]))
     return CompressionModel(good, bad, raw_bad, slope, intercept, middle)
 
 

@@ -56,6 +56,22 @@ def test_one_class_or_none(spark):
     assert quality.score(df.limit(0), model).count() == 0
 
 
+def test_scores_keep_the_share_of_the_labels_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 40)
+    rng, docs, labels = random.Random(4), [], []
+    for i in range(900):
+        good = i % 9 > 0
+        words = [rng.choice(("river", "valley", "green", "towns")) + rng.choice("abcdef") for _ in range(30)]
+        noise = [rng.choice(("CLICK", "BUY", "WIN")) + rng.choice("ABCDEF") for _ in range(30)]
+        part = min(1.0, max(0.0, rng.gauss(0.55 if good else 0.45, 0.12)))  # the classes overlap
+        docs.append((i, " ".join(a if rng.random() < part else b for a, b in zip(words, noise))))
+        labels.append((i, int(good), 0))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.fit(df, spark.createDataFrame([*labels, *[(10_000 + i, 0, 0) for i in range(900)]], "doc_id long, quality int, toxic int"))
+    mean = quality.score(df, model).agg(F.avg("quality_score")).first()[0]
+    assert abs(mean - 8 / 9) < 0.06
+
+
 def test_held_out_accuracy_on_the_tables(spark, data):
     docs, labels = (spark.read.parquet(f"{data.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     scored = quality.score(docs, quality.fit(docs, labels)).join(labels, "doc_id").where(quality.held_out(F.col("doc_id")))
