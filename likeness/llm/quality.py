@@ -13,7 +13,7 @@ import math
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.llm.common import fill, materialize, slices
@@ -89,11 +89,15 @@ def _labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int
     # The chosen side has 2 * SAMPLE_DOCS rows of three numbers at most, so it is broadcast.
     # An id that many rows repeat counts once, however many there are.
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_quality", "_turn").agg(F.min("_text").alias("_text"))
-    order = Window.partitionBy("_quality").orderBy("_turn", "doc_id", "_text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_sum", F.sum(F.octet_length("_text")).over(order)).where(
-        F.col("_sum") <= SAMPLE_BYTES // 2
-    )
-    return [(r["_quality"], r["_text"]) for r in rows.orderBy("_turn", "doc_id", "_text").collect()], counts
+    rows = materialize(rows.withColumn("_bytes", F.octet_length("_text")), "quality-sample")
+    # A text that no longer fits is left out by itself; those after it are taken as long as they fit.
+    room, taken = {0: SAMPLE_BYTES // 2, 1: SAMPLE_BYTES // 2}, []
+    for r in rows.select("doc_id", "_quality", "_turn", "_bytes").orderBy("_turn", "doc_id").collect():
+        if r["_bytes"] <= room[r["_quality"]]:
+            room[r["_quality"]] -= r["_bytes"]
+            taken.append(r["doc_id"])
+    rows = rows.where(F.col("doc_id").isin(taken))
+    return [(r["_quality"], r["_text"]) for r in rows.orderBy("_turn", "doc_id").collect()], counts
 
 
 def _dictionary(texts: list[str], size: int) -> tuple[bytes, bool]:

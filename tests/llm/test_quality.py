@@ -72,6 +72,16 @@ def test_scores_keep_the_share_of_the_labels_beyond_the_sample(spark, monkeypatc
     assert abs(mean - 8 / 9) < 0.06
 
 
+def test_a_text_too_long_for_the_sample_drops_no_other(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 200_000)
+    docs, labels = corpus(random.Random(5), 120)
+    first = spark.createDataFrame([(i,) for i, q, _ in labels if q == 0 and zlib.crc32(str(i).encode()) % 3 != 1], "doc_id long").orderBy(F.xxhash64("doc_id")).first()[0]
+    docs[first] = (first, docs[first][1] * 400, "en")
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    by = {r["doc_id"]: r["quality_score"] for r in quality.score(df, quality.fit(df, lab)).collect()}
+    assert all((by[i] >= 0.5) == bool(q) for i, q, _ in labels)
+
+
 def test_held_out_accuracy_on_the_tables(spark, data):
     docs, labels = (spark.read.parquet(f"{data.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     scored = quality.score(docs, quality.fit(docs, labels)).join(labels, "doc_id").where(quality.held_out(F.col("doc_id")))
