@@ -82,6 +82,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(bm25.build(rows), rows, K + 1)
 
 
+def bm25_topk_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_topk, over all parts; the SQL of bm25_topk covers those that have a vector."""
+    rows = titles(spark, sf_dir)
+    return bm25.search(bm25.build(rows), rows, K + 1)
+
+
 def bm25_self_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = titles(spark, sf_dir)
     return bm25.self_scores(bm25.build(rows), rows).select("query_id", r9("self_score"))
@@ -127,6 +133,13 @@ def phash_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashes.boost(bm25.search(bm25.build(rows), rows, K + 1), hashes.hamming_join(rows, rows, RADIUS), K + 1)
 
 
+def phash_boost_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As phash_boost, over all parts; those without a vector have no hash and get no boost."""
+    found = vectors(spark, sf_dir).select("id", sign_hash(F.col("embedding")).alias("hash"))
+    rows = titles(spark, sf_dir).join(found, "id", "left")
+    return hashes.boost(bm25.search(bm25.build(rows), rows, K + 1), hashes.hamming_join(rows, rows, RADIUS), K + 1)
+
+
 # --- fusion and reranking ----------------------------------------------------------------------
 
 
@@ -343,8 +356,8 @@ def final_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    tokenize, canonical_units, decode_titles, term_stats, bm25_postings, bm25_topk, bm25_self_score, bm25_benchmark_vs_documents,
-    cosine_topk, cosine_topk_lsh, neighbour_votes, knn_expand, hamming_pairs, phash_boost, fusion_features, rrf_fusion, learned_fusion,
+    tokenize, canonical_units, decode_titles, term_stats, bm25_postings, bm25_topk, bm25_topk_titles, bm25_self_score, bm25_benchmark_vs_documents,
+    cosine_topk, cosine_topk_lsh, neighbour_votes, knn_expand, hamming_pairs, phash_boost, phash_boost_titles, fusion_features, rrf_fusion, learned_fusion,
     rerank_by_overlap, drop_self_topk, match_flags, group_sizes, recall, mrr, f1_threshold, f1_min_matches, f1_relative, floor_f1, f1_curve,
     tune_threshold, precision_at_recall, latency_percentiles, pool_union, group_split, split_counts, fold_assign, coverage_antijoin,
     hard_negatives, pair_export, captured_share, triplets, title_jaccard_pairs, fusion_logreg, title_vectors, bootstrap_gain,

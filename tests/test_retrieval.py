@@ -1,7 +1,10 @@
+import duckdb
 import numpy as np
 import pytest
+from oracle import differences
 from pyspark.sql import functions as F
 
+from likeness import oracles, queries
 from likeness.functions.vectors import hamming, hex_to_long, l2_normalise, safe_divide, sign_hash
 from likeness.operators import bm25, dense, fusion, hashes
 from likeness.operators.candidates import drop_self, top_k
@@ -154,3 +157,14 @@ def test_small_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], 1.0, 0.0), ([0.0, 0.0], 1.0, 2.0)], "v array<float>, a double, b double")
     got = df.select(l2_normalise(F.col("v")), safe_divide(F.col("a"), F.col("b"))).collect()
     assert [list(r) for r in got] == [[[0.6, 0.8], 0.0], [[0.0, 0.0], 0.5]]
+
+
+def test_titles_without_a_vector_are_searched_too(spark, data, tmp_path):
+    spark.read.parquet(f"{data}/part.parquet").where("p_partkey < 60").write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id <= 20").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    sql = oracles._with([*oracles._bm25(oracles.TITLES, oracles.TITLES), oracles._B_TOP], "SELECT * FROM b_top")
+    got = queries.bm25_topk_titles(spark, str(tmp_path))
+    assert got.select("query_id").distinct().count() == 60 and differences(got, con, sql) == ""
+    assert queries.phash_boost_titles(spark, str(tmp_path)).select("query_id").distinct().count() == 60
