@@ -77,7 +77,8 @@ FROM e GROUP BY conv_id
 """
 
 #: Sources sorted by how soon three times their size is reached: the first n of them are full, for the least n that
-#: leaves the others below. Within a source, documents follow each other by the hash of their id.
+#: leaves the others below. Within a source, documents follow each other by the hash of their id; across sources, by the
+#: words served so far over the target, until all words are used up.
 OP9 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS turn FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS n FROM d GROUP BY source),
@@ -87,9 +88,13 @@ o AS (SELECT *, row_number() OVER r AS pos, coalesce(sum(3 * n) OVER (r ROWS BET
       FROM w WINDOW r AS (ORDER BY 3 * n / weight, source)),
 v AS (SELECT arg_min((total - full_before) / open_weight, pos) AS level FROM o WHERE (total - full_before) / open_weight * weight <= 3 * n),
 t AS (SELECT source, CAST(n AS BIGINT) AS source_size, least(3 * n, level * weight) AS target FROM w, v),
-p AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(list_sum(list_transform([0, 1, 2], lambda e: greatest(0, least(size, round(target)::BIGINT - start - source_size * e)))) AS BIGINT) AS taken FROM p
+p AS (SELECT doc_id, d.source, size, source_size, target, row_number() OVER (ORDER BY doc_id) AS id,
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY turn, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, start + epoch * source_size AS begin FROM p, LATERAL (SELECT unnest([0, 1, 2]) AS epoch) WHERE size > 0 AND start + epoch * source_size < target),
+c AS (SELECT id, size, coalesce(sum(size) OVER (ORDER BY (begin + size) / target, source NULLS FIRST, start, epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q),
+g AS (SELECT id, sum(greatest(0, least(size, (SELECT sum(size) FROM d) - before))) AS served FROM c GROUP BY id)
+SELECT doc_id, size, source_size, target, CAST(coalesce(served, 0) AS BIGINT) AS taken FROM p LEFT JOIN g USING (id)
 """
 
 ORACLES: dict[str, str] = {
