@@ -2,11 +2,10 @@
 
 Texts and benchmark items are sequences of lower-cased words. An item occurs in a document if some
 stretch of the document is within ``edits`` of the item's words of it, by insertions, deletions and
-replacements. Windows of the item's size are placed where the document shares enough word pairs with
-the item on near diagonals: an edit spoils two pairs at most and shifts the rest by one word, so a stretch
-within the limit always has such a place.
-A window and the item are embedded by the same random walks, which turn edit distance into Hamming
-distance, and meet if they agree on the sampled coordinates of one of the repetitions, whose number is
+replacements. An item-sized window starts at every word from which on the document holds so many of the
+benchmark's word pairs as every stretch within the limit holds. Windows and items are embedded by the
+same random walks, which turn edit distance into Hamming distance; coordinates sampled from the embedding
+are a bucket's key, and the items in a window's buckets are its candidates. The number of walks is
 planned for the target recall. What meets is verified by the exact edit distance.
 """
 
@@ -14,22 +13,27 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from likeness.llm.common import fill
+from likeness.llm.common import file_system, fill, materialize, shared_path, slices
 
 EDITS, TARGET_RECALL, SEED = 0.2, 0.99, 11
-#: Items of fewer words are no evidence of a leak and take no part.
-LEAST_WORDS = 8
 #: Coordinates that must agree, and samples drawn from one walk.
-SAMPLED, SAMPLES_PER_WALK, MOST_WALKS = 2, 4, 32
-#: Benchmark text that goes to the executors at a time; a larger benchmark is handled in several passes.
+SAMPLED, SAMPLES_PER_WALK = 2, 4
+#: Outputs of the embedding per word, and the first share of them that is sampled: by then a walk has run
+#: through three quarters of its row; later outputs are ever more often fill, which agrees for any two rows.
+OUTPUTS, SAMPLED_SHARE = 3, 0.5
+#: If so many walks do not reach the target, planning fails with the recall reached.
+MOST_WALKS = 256
+#: Benchmark text that a worker indexes at a time; a larger benchmark is handled in several passes.
 BLOCK_BYTES = 4_000_000
+#: Windows embedded, and candidates verified, at a time.
+ROWS = 4096
 _TOKEN = re.compile(r"\w+")
 
 
@@ -37,299 +41,384 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
-def _bits(symbols, step: int, walk: int):
-    """A random bit for each symbol, step and walk: whether the walk moves on."""
+def _moves(n_symbols: int, steps: int, walk: int):
+    """Per step and symbol a random bit: whether the walk moves on."""
     import numpy as np
 
-    x = (symbols.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((step * 1_000_003 + walk * 7_919 + SEED) * 0xD1B54A32D192ED03 % 2**64)
+    symbol = np.arange(n_symbols, dtype=np.uint64)[None, :]
+    step = np.array([(s * 1_000_003 + walk * 7_919 + SEED) * 0xD1B54A32D192ED03 % 2**64 for s in range(steps)], np.uint64)[:, None]
+    x = (symbol + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + step
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x >> np.uint64(63)).astype(np.int64)
+    return (x >> np.uint64(63)).astype(np.uint8)
 
 
-def embed(rows, lengths, walk: int):
-    """CGK embedding of padded symbol rows: three outputs per word; 0 once a walk has left its row."""
+def embed(symbols, starts, moves):
+    """CGK embedding of the text from each start: (symbol, words passed) at each step, one row a start.
+
+    A row's embedding ends where it has passed the row's words; what comes after is fill, symbol 0.
+    """
     import numpy as np
 
-    n, width = rows.shape
-    padded = np.concatenate([rows, np.zeros((n, 1), rows.dtype)], axis=1)
-    at, line, out = np.zeros(n, np.int64), np.arange(n), np.zeros((n, 3 * width), rows.dtype)
-    for step in range(3 * width):
-        symbol = padded[line, np.minimum(at, width)]
-        symbol[at >= lengths] = 0
-        out[:, step] = symbol
-        at += _bits(symbol, step, walk)
-    return out
+    out = np.empty((len(starts), len(moves)), np.int32)
+    passed = np.empty((len(starts), len(moves)), np.int32)
+    at, last = starts.copy(), len(symbols) - 1
+    for step in range(len(moves)):
+        symbol = symbols[np.minimum(at, last)]
+        out[:, step], passed[:, step] = symbol, at - starts
+        at = at + moves[step][symbol]
+    return out, passed
 
 
-def _samples(walk: int):
-    """The sampled coordinates of a walk, as fractions of an item's three outputs per word."""
+def _coordinates(length: int, walk: int):
+    """Per sample of a walk, the steps that are compared for rows of ``length`` words."""
     import numpy as np
 
-    return np.random.default_rng((SEED, walk)).random((SAMPLES_PER_WALK, SAMPLED))
+    share = np.random.default_rng((SEED, walk)).random((SAMPLES_PER_WALK, SAMPLED)) * SAMPLED_SHARE
+    return (share * OUTPUTS * length).astype(np.int64)
+
+
+def _steps(longest: int) -> int:
+    return max(1, math.ceil(SAMPLED_SHARE * OUTPUTS * longest))
 
 
-def _meets(a, b, lengths, walk: int):
-    """Whether embedded rows agree on all coordinates of a sample."""
+def bucket_keys(embedded, length: int, walk: int):
+    """Per row and sample, the key of its bucket: row length, sample and the symbols at its coordinates."""
     import numpy as np
 
-    line, out = np.arange(len(a)), np.zeros(len(a), bool)
-    for sample in _samples(walk):
-        same = np.ones(len(a), bool)
-        for u in sample:
-            at = (u * 3 * lengths).astype(np.int64)
-            same &= a[line, at] == b[line, at]
-        out |= same
-    return out
+    out, passed = embedded
+    keys = np.empty((len(out), SAMPLES_PER_WALK), np.uint64)
+    for n, steps in enumerate(_coordinates(length, walk)):
+        x = np.full(len(out), (length * 7919 + walk * SAMPLES_PER_WALK + n) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+        for step in steps:
+            symbol = np.where(passed[:, step] < length, out[:, step], 0).astype(np.uint64)
+            x = (x ^ symbol) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(29)
+        keys[:, n] = x
+    return keys
+
 
+def alignments(items, texts):
+    """(distance, end) of the stretch of each text nearest to its item; the earliest end among equals.
 
-def alignment(item, text) -> tuple[int, int]:
-    """(distance, end) of the stretch of ``text`` nearest to ``item``; the earliest end among equals."""
+    Items are of one length; texts are padded at their ends with a symbol that no item holds.
+    """
     import numpy as np
 
-    index = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
-    for n, symbol in enumerate(item, 1):
-        below = np.minimum(row[:-1] + (text != symbol), row[1:] + 1)
-        row = np.minimum.accumulate(np.concatenate([[n], below]) - index) + index
-    end = int(row.argmin())
-    return int(row[end]), end
+    index = np.arange(texts.shape[1] + 1)
+    row = np.zeros((len(texts), texts.shape[1] + 1), np.int64)
+    for n in range(items.shape[1]):
+        below = np.minimum(row[:, :-1] + (texts != items[:, n : n + 1]), row[:, 1:] + 1)
+        row = np.concatenate([np.full((len(texts), 1), n + 1), below], axis=1) - index
+        row = np.minimum.accumulate(row, axis=1) + index
+    end = row.argmin(axis=1)
+    return row[np.arange(len(row)), end], end
 
 
 @dataclass(frozen=True)
 class Benchmark:
-    """A block of benchmark items: bounded by BLOCK_BYTES of text."""
+    """A block of benchmark items: bounded by BLOCK_BYTES of text, or by the texts of one id."""
 
     ids: list
+    id_type: pa.DataType
     items: list  # arrays of symbols
-    limits: list  # edits allowed
     symbols: dict
     pairs: object  # sorted codes of word pairs
-    first: object  # per code, where its postings start
-    of_item: object  # postings: item
-    offset: object  # and the pair's place in it
-    walks: int
+    classes: dict  # length -> (edits allowed, items)
+    moves: list  # per walk, the bits that move it on
+    keys: object  # sorted keys of the items' buckets
+    holds: object  # and the item of each
 
     @property
     def longest(self) -> int:
-        return max(map(len, self.items), default=0)
+        return max(self.classes, default=0)
+
+    @property
+    def room(self) -> int:
+        """Fill between texts laid end to end, so that no window or stretch spans two."""
+        return self.longest + max((k for k, _ in self.classes.values()), default=0) + 2
+
+
+def _met(a, b, length: int, walk: int):
+    return (bucket_keys(a, length, walk) == bucket_keys(b, length, walk)).any(axis=1)
 
 
-def _planned_walks(items, limits, longest: int, target: float) -> int:
-    """Walks that make a stretch with as many edits as allowed meet its item with the target's probability."""
+def _planned_walks(classes: dict, items: list, n_symbols: int, target: float) -> list:
+    """Walks by which a stretch with as many edits as allowed meets its item with the target's probability."""
     import numpy as np
 
     if not items:
-        return 1
+        return []
     rng = np.random.default_rng(SEED)
-    chosen = [int(i) for i in rng.integers(0, len(items), size=400)]
-    size = max(longest, 1)
-    left, right, lengths = np.zeros((400, size), np.int64), np.zeros((400, size), np.int64), np.zeros(400, np.int64)
-    fresh = 1 << 40
+    longest = max(classes)
+    chosen = sorted((int(i) for i in rng.integers(0, len(items), size=400)), key=lambda i: len(items[i]))
+    width = 2 * longest + 2
+    left, right = np.zeros((400, width), np.int64), np.zeros((400, width), np.int64)
     for n, i in enumerate(chosen):
         words = items[i].tolist()
-        left[n, : len(words)], lengths[n] = words, len(words)
-        for _ in range(limits[i]):
+        left[n, : len(words)] = words
+        for _ in range(classes[len(items[i])][0]):
             at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
-            fresh += 1
-            words[at : at + 1] = ([fresh], [], [fresh, words[at]])[kind]
-        words = (words + [0] * size)[: lengths[n]]
-        right[n, : lengths[n]] = words
-    met, walk = np.zeros(400, bool), 0
-    while walk < MOST_WALKS and met.mean() < target:
-        met |= _meets(embed(left, lengths, walk), embed(right, lengths, walk), lengths, walk)
-        walk += 1
-    return walk
-
-
-def index(rows: list[tuple[object, str]], edits: float = EDITS, target: float = TARGET_RECALL) -> Benchmark:
-    """Index benchmark items (id, text). Repeated items count once; ids may be null."""
+            words[at : at + 1] = ([0], [], [0, words[at]])[kind]
+        right[n, : len(words)] = words
+    starts, lengths = np.arange(400) * width, np.array([len(items[i]) for i in chosen])
+    met, walks = np.zeros(400, bool), []
+    while met.mean() < target:
+        if len(walks) == MOST_WALKS:
+            raise ValueError(f"{MOST_WALKS} walks reach a recall of {met.mean():.3f}, the target is {target}; allow fewer edits or a lower target")
+        moves, walk = _moves(n_symbols, _steps(longest), len(walks)), len(walks)
+        a, b = (embed(x.ravel(), starts, moves) for x in (left, right))
+        for length in np.unique(lengths):
+            own = lengths == length
+            met[own] |= _met(*[tuple(x[own] for x in e) for e in (a, b)], int(length), walk)
+        walks.append(moves)
+    return walks
+
+
+def index(rows: list[tuple[object, str]], edits: float = EDITS, target: float = TARGET_RECALL, id_type: pa.DataType | None = None) -> Benchmark:
+    """Index benchmark items (id, text). Repeated items count once; ids may be null; items without words take no part."""
     import numpy as np
 
+    if not 0 <= edits < 1:
+        raise ValueError(f"edits is a share of an item's words below 1, not {edits}")
     symbols: dict[str, int] = {}
     ids, items, seen = [], [], set()
     for i, text in rows:
         words = tokens(text)
-        if len(words) < LEAST_WORDS or (i, tuple(words)) in seen:
+        if not words or (i, tuple(words)) in seen:
             continue
         seen.add((i, tuple(words)))
         ids.append(i)
         items.append(np.array([symbols.setdefault(w, len(symbols) + 1) for w in words], np.int64))
     base = len(symbols) + 1
-    code = np.concatenate([x[:-1] * base + x[1:] for x in items]) if items else np.empty(0, np.int64)
-    of_item = np.concatenate([np.full(len(x) - 1, n) for n, x in enumerate(items)]) if items else np.empty(0, np.int64)
-    offset = np.concatenate([np.arange(len(x) - 1) for x in items]) if items else np.empty(0, np.int64)
-    order = np.argsort(code, kind="stable")
-    pairs, first = np.unique(code[order], return_index=True)
-    limits = [int(edits * len(x)) for x in items]
-    longest = max(map(len, items), default=0)
-    return Benchmark(ids, items, limits, symbols, pairs, np.append(first, len(code)), of_item[order], offset[order], _planned_walks(items, limits, longest, target))
-
-
-def _dense(at, need: int, width: int):
-    """Marks of the sorted positions ``at`` that lie in some stretch of ``width`` with ``need`` of them."""
+    pairs = np.unique(np.concatenate([x[:-1] * base + x[1:] for x in items])) if items else np.empty(0, np.int64)
+    by_length: dict[int, list[int]] = {}
+    for n, item in enumerate(items):
+        by_length.setdefault(len(item), []).append(n)
+    classes = {m: (int(edits * m + 1e-9), np.array(ns)) for m, ns in sorted(by_length.items())}
+    moves, keys, holds = _planned_walks(classes, items, base, target), [], []
+    for walk, bits in enumerate(moves):
+        for m, (_, ns) in classes.items():
+            for lo in range(0, len(ns), ROWS):
+                part = ns[lo : lo + ROWS]
+                flat = np.concatenate([*[items[n] for n in part], np.zeros(1, np.int64)])
+                found = bucket_keys(embed(flat, np.arange(len(part)) * m, bits), m, walk)
+                keys.append(found.ravel())
+                holds.append(np.repeat(part, SAMPLES_PER_WALK))
+    keys, holds = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (keys, holds))
+    order = np.argsort(keys, kind="stable")
+    return Benchmark(ids, id_type, items, symbols, pairs, classes, moves, keys[order], holds[order].astype(np.int64))
+
+
+def _openings(at, need: int, width: int):
+    """All starts of stretches of ``width`` that hold ``need`` of the sorted positions ``at``."""
     import numpy as np
 
-    if need < 1 or len(at) < need:
-        return np.zeros(len(at), bool)
-    opens = np.nonzero(at[need - 1 :] - at[: len(at) - need + 1] < width)[0]
-    edge = np.zeros(len(at) + 1, np.int64)
-    np.add.at(edge, opens, 1)
-    np.add.at(edge, opens + need, -1)
-    return np.cumsum(edge[:-1]) > 0
+    first, last = at[: max(len(at) - need + 1, 0)], at[need - 1 :]
+    near = last - first < width
+    hi, lo = first[near], last[near] - width + 1
+    lo[1:] = np.maximum(lo[1:], hi[:-1] + 1)
+    sizes = hi - lo + 1
+    return np.repeat(lo - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+def _padded(arrays):
+    import numpy as np
+
+    out = np.full((len(arrays), max(map(len, arrays))), -1, np.int64)
+    for row, x in zip(out, arrays, strict=True):
+        row[: len(x)] = x
+    return out
 
 
 class Matcher:
     """Finds a benchmark block's items in batches of texts."""
 
     def __init__(self, bench: Benchmark):
-        import numpy as np
-
         self.bench = bench
-        by_length: dict[int, list[int]] = {}
-        for n, item in enumerate(bench.items):
-            by_length.setdefault(len(item), []).append(n)
-        #: (pairs that stay at least, words they lie in), per length of items.
-        self.classes = {
-            m: (m - 1 - 2 * bench.limits[ns[0]], m + bench.limits[ns[0]]) for m, ns in sorted(by_length.items())
-        }
-        self.lengths = np.array([len(x) for x in bench.items], np.int64)
-        size = max(bench.longest, 1)
-        self.rows = np.zeros((len(bench.items), size), np.int64)
-        for n, item in enumerate(bench.items):
-            self.rows[n, : len(item)] = item
-        self.embedded = [embed(self.rows, self.lengths, w) for w in range(bench.walks)] if bench.items else []
-
-    def places(self, texts: list[str | None]):
-        """(text number, item, first word of a window, the text's symbols) that share enough pairs."""
+
+    def _laid(self, texts: list[str | None]):
+        """Symbols of all texts end to end with room between, where each begins, and its number of words."""
         import numpy as np
 
-        get, base = self.bench.symbols.get, len(self.bench.symbols) + 1
+        get, room = self.bench.symbols.get, self.bench.room
         split = [tokens(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        # Texts lie end to end with room between them, so that no stretch spans two.
-        gap = 2 * self.bench.longest + 2
-        begins = np.cumsum(counts + gap) - counts - gap
-        total = int((counts + gap).sum())
-        symbols = np.zeros(total + 1, np.int64)
+        begins = np.cumsum(counts + room) - counts
+        symbols = np.zeros(int((counts + room).sum()) + room, np.int64)
         for b, words in zip(begins.tolist(), split, strict=True):
             symbols[b : b + len(words)] = [get(w, 0) for w in words]
-        both = np.nonzero((symbols[:-1] > 0) & (symbols[1:] > 0))[0]
-        codes = symbols[both] * base + symbols[both + 1]
-        place = np.searchsorted(self.bench.pairs, codes)
-        place[place == len(self.bench.pairs)] = 0
-        hit = self.bench.pairs[place] == codes
-        at, place = both[hit], place[hit]
-        for m, (need, width) in self.classes.items():
-            near = _dense(at, need, width)
-            if not near.any():
-                continue
-            # Postings of the pairs in dense stretches, of items of this length.
-            p, c = at[near], place[near]
-            sizes = self.bench.first[c + 1] - self.bench.first[c]
-            posting = np.repeat(self.bench.first[c] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-            p, item, offset = np.repeat(p, sizes), self.bench.of_item[posting], self.bench.offset[posting]
-            own = self.lengths[item] == m
-            item, diagonal = item[own], (p - offset)[own]
-            order = np.lexsort((diagonal, item))
-            item, diagonal = item[order], diagonal[order]
-            # Edits shift what follows: the pairs that stay lie on diagonals at most as far apart as edits are allowed.
-            kept = _dense(diagonal + item * 2 * (total + gap), need, width - m + 1)
-            windows = np.unique(np.stack([item[kept], diagonal[kept]]), axis=1)
-            doc = np.searchsorted(begins, windows[1] + gap // 2, side="right") - 1
-            for n, i, s in zip(doc.tolist(), *windows.tolist(), strict=True):
-                yield n, i, s - int(begins[n]), symbols[begins[n] : begins[n] + counts[n]]
-
-    def find(self, texts: list[str | None], rows: int = 1024) -> dict[tuple[int, object], tuple[int, int, int, int]]:
+        return symbols, begins, counts
+
+    def windows(self, symbols) -> dict:
+        """Per length of items, where windows start: at every word from which on enough stays of some stretch within the limit.
+
+        An edit spoils two pairs of words at most, or one word where that would leave no pair.
+        """
+        import numpy as np
+
+        known = symbols > 0
+        word = np.nonzero(known)[0]
+        both = np.nonzero(known[:-1] & known[1:])[0]
+        codes, pairs = symbols[both] * (len(self.bench.symbols) + 1) + symbols[both + 1], self.bench.pairs
+        place = np.searchsorted(pairs, codes)
+        place[place == len(pairs)] = 0
+        pair = both[pairs[place] == codes] if len(pairs) else both[:0]
+        found = {}
+        for m, (k, _) in self.bench.classes.items():
+            stay = m - 1 - 2 * k
+            found[m] = _openings(pair, stay, m + k - 1) if stay > 0 else _openings(word, m - k, m + k)
+        return found
+
+    def meetings(self, symbols, windows: dict):
+        """(start, item) of the windows and the items in their buckets."""
+        import numpy as np
+
+        keys, holds = self.bench.keys, self.bench.holds
+        every = np.unique(np.concatenate(list(windows.values()))) if windows else np.empty(0, np.int64)
+        out = [np.empty((2, 0), np.int64)]
+        for lo in range(0, len(every), ROWS):
+            starts = every[lo : lo + ROWS]
+            own = {}
+            for m, at in windows.items():
+                a, b = np.searchsorted(at, (starts[0], starts[-1] + 1))
+                if b > a:
+                    own[m] = np.searchsorted(starts, at[a:b])
+            for walk, moves in enumerate(self.bench.moves):
+                embedded = embed(symbols, starts, moves)
+                for m, rows in own.items():
+                    asked = bucket_keys(tuple(x[rows] for x in embedded), m, walk).ravel()
+                    first, end = np.searchsorted(keys, asked), np.searchsorted(keys, asked, side="right")
+                    sizes = end - first
+                    hit = np.nonzero(sizes)[0]
+                    posting = np.repeat(first[hit] - np.cumsum(sizes[hit]) + sizes[hit], sizes[hit]) + np.arange(int(sizes.sum()))
+                    out.append(np.stack([np.repeat(starts[rows[hit // SAMPLES_PER_WALK]], sizes[hit]), holds[posting]]))
+            if sum(x.shape[1] for x in out) > 1 << 20:
+                out = [np.unique(np.concatenate(out, axis=1), axis=1)]
+        return np.unique(np.concatenate(out, axis=1), axis=1)
+
+    def find(self, texts: list[str | None]) -> dict[tuple[int, object], tuple[int, int, int, int]]:
         """(text number, item id) -> (distance, first word, words, words of the item), the nearest stretch."""
         import numpy as np
 
         best: dict[tuple[int, object], tuple[int, int, int, int]] = {}
-        if not self.bench.items:
+        if not self.bench.items or not texts:
             return best
-        found = []
-        for lo in range(0, len(texts), rows):
-            found += [(n + lo, i, s, x) for n, i, s, x in self.places(texts[lo : lo + rows])]
-        for lo in range(0, len(found), 4096):
-            part = found[lo : lo + 4096]
-            items = np.array([i for _, i, _, _ in part])
-            windows = np.zeros((len(part), self.rows.shape[1]), np.int64)
-            for row, (_, i, s, x) in enumerate(part):
-                m = len(self.bench.items[i])
-                own = x[max(s, 0) : max(s + m, 0)]
-                windows[row, max(-s, 0) : max(-s, 0) + len(own)] = own
-            lengths, met = self.lengths[items], np.zeros(len(part), bool)
-            for walk in range(self.bench.walks):
-                left = np.nonzero(~met)[0]
-                if not len(left):
-                    break
-                met[left] = _meets(embed(windows[left], lengths[left], walk), self.embedded[walk][items[left]], lengths[left], walk)
-            for row in np.nonzero(met)[0].tolist():
-                n, i, s, x = part[row]
-                item, limit = self.bench.items[i], self.bench.limits[i]
-                lo_word = max(0, s - limit)
-                region = x[lo_word : s + len(item) + limit]
-                distance, end = alignment(item, region)
-                if distance > limit:
+        symbols, begins, counts = self._laid(texts)
+        start, item = self.meetings(symbols, self.windows(symbols))
+        doc = np.maximum(np.searchsorted(begins, start, side="right") - 1, 0)
+        inside = (start >= begins[doc]) & (start < begins[doc] + counts[doc])
+        start, item, doc = start[inside], item[inside], doc[inside]
+        length = np.array([len(x) for x in self.bench.items])[item]
+        order = np.lexsort((start, doc, item, length))
+        start, item, doc, length = (x[order] for x in (start, item, doc, length))
+        # Starts of one text and item that are less than an item apart are verified together, in one region.
+        new = np.ones(len(start), bool)
+        new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > length[1:])
+        first = np.nonzero(new)[0]
+        last = np.append(first[1:], len(start)) - 1 if len(first) else first
+        for m, (k, _) in self.bench.classes.items():
+            a, b = np.searchsorted(length[first], (m, m + 1))
+            for lo in range(a, b, ROWS):
+                f, e = first[lo : min(lo + ROWS, b)], last[lo : min(lo + ROWS, b)]
+                begin, over = begins[doc[f]], begins[doc[f]] + counts[doc[f]]
+                left, right = np.maximum(start[f] - k, begin), np.minimum(start[e] + m + k, over)
+                regions = [symbols[x:y] for x, y in zip(left.tolist(), right.tolist(), strict=True)]
+                items = np.stack([self.bench.items[i] for i in item[f]])
+                distance, end = alignments(items, _padded(regions))
+                near = np.nonzero(distance <= k)[0]
+                if not len(near):
                     continue
-                _, length = alignment(item[::-1], region[:end][::-1])
-                key, value = (n, self.bench.ids[i]), (distance, lo_word + end - length, length, len(item))
-                best[key] = min(best.get(key, value), value)
+                turned = _padded([np.append(regions[n][: end[n]][::-1], -1) for n in near.tolist()])
+                _, words = alignments(items[near, ::-1], turned)
+                for n, w in zip(near.tolist(), words.tolist(), strict=True):
+                    key = int(doc[f[n]]), self.bench.ids[item[f[n]]]
+                    value = int(distance[n]), int(left[n] - begin[n] + end[n] - w), w, m
+                    best[key] = min(best.get(key, value), value)
         return best
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
-    """The benchmark's rows in blocks of about BLOCK_BYTES; an id is in one block."""
+@lru_cache(maxsize=1)
+def _loaded(folder: str, block: int, edits: float, target: float) -> Matcher:
+    """The matcher of a stored block; a worker keeps one."""
+    import pyarrow.parquet as pq
+
+    fs, path = file_system(f"{folder}/block={block}")
+    from pyarrow import fs as filesystems
+
+    files = [f.path for f in fs.get_file_info(filesystems.FileSelector(path)) if f.path.endswith(".parquet")]
+    table = pa.concat_tables([pq.read_table(f, filesystem=fs, partitioning=None) for f in sorted(files)])
+    ids, texts = table["item_id"].to_pylist(), table["text"].to_pylist()
+    rows = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is not None, r))
+    return Matcher(index(rows, edits, target, table["item_id"].type))
+
+
+def _stored(benchmark: DataFrame) -> tuple[str, list[int]]:
+    """The distinct rows of the benchmark in the shared folder, in blocks of about BLOCK_BYTES; an id is in one block.
+
+    The driver sees the numbers of the blocks only.
+    """
+    spark = benchmark.sparkSession
     rows = benchmark.select("item_id", fill(F.col("text")).alias("text")).distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = math.ceil(size / BLOCK_BYTES)
-    part = F.pmod(F.xxhash64("item_id"), F.lit(max(n, 1)))
-    for block in range(n):
-        yield [(r["item_id"], r["text"]) for r in rows.where(part == block).collect()]
+    folder, n = shared_path(spark, "benchmark"), max(1, math.ceil(size / BLOCK_BYTES))
+    rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")).write.partitionBy("block").parquet(folder)
+    if not size:
+        return folder, []
+    blocks = spark.read.schema("text string, block int").parquet(folder).select("block").distinct()
+    return folder, sorted(r["block"] for r in blocks.collect())
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, target: float = TARGET_RECALL) -> DataFrame:
     """``doc_id, item_id, start_word, n_words, distance, similarity``: the nearest stretch per document and item.
 
     Words are runs of letters, digits and underscores in lower case; positions count such words from
-    0. Items below LEAST_WORDS words, and null ones, take no part; documents without words match nothing.
-    Repeated rows of ``docs`` repeat in the result, repeated items do not. Null ids pass through.
+    0. ``edits`` is a share below 1 of an item's words, rounded down, so short items (below five words, at 0.2) match
+    only word for word, which is found with certainty. Items without words, and null ones, take no part; documents
+    without words match nothing. Repeated rows of ``docs`` repeat in the result, repeated items do not; texts
+    that share an item_id count as one item, whose nearest stretch is told. Null ids pass through. Among
+    equally near stretches the first is told. Empty tables give an empty result; other columns are ignored.
+    Texts are searched whole, however long.
     """
-    kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {kind[0]}, item_id {kind[1]}, start_word int, n_words int, distance int, similarity double"
-    out = None
+    doc_type, item_type = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
+    schema = f"doc_id {doc_type}, item_id {item_type}, start_word int, n_words int, distance int, similarity double"
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    for rows in _blocks(benchmark):
-        bench = index(rows, edits, target)
+    folder, blocks = _stored(benchmark)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for n, block in enumerate(blocks):
 
-        def run(batches, bench=bench):
-            matcher = Matcher(bench)
+        def run(batches, block=block):
+            matcher = _loaded(folder, block, edits, target)
             for batch in batches:
-                best = matcher.find(batch.column(1).to_pylist())
-                table = [(n, i, s, w, d, 1 - d / m) for (n, i), (d, s, w, m) in best.items()]
-                doc, item, start, words, distance, alike = zip(*table, strict=True) if table else [()] * 6
-                kinds = (None, None, pa.int32(), pa.int32(), pa.int32(), pa.float64())
-                cols = [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(item, item_type)]
-                cols += [pa.array(c, k) for c, k in zip((start, words, distance, alike), kinds[2:], strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])
-
-        item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind[1], pa.string())
+                for part, (texts,) in slices(batch, ["text"]):
+                    best = matcher.find(texts)
+                    table = [(n, i, s, w, d, 1 - d / m) for (n, i), (d, s, w, m) in best.items()]
+                    doc, item, *rest = zip(*table, strict=True) if table else [()] * 6
+                    cols = [part.column(0).take(pa.array(doc, pa.int64())), pa.array(item, matcher.bench.id_type)]
+                    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64())
+                    cols += [pa.array(c, k) for c, k in zip(rest, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])
+
         part = chosen.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+        out = out.unionByName(part) if n else part
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, target: float = TARGET_RECALL) -> DataFrame:
-    """``docs`` without the rows in which some benchmark item occurs; all columns pass through."""
-    for rows in _blocks(benchmark):
-        bench = index(rows, edits, target)
+    """``docs`` without the rows in which some benchmark item occurs, as ``matches`` defines it; all columns pass through.
+
+    Null and empty texts stay. Of repeated rows all go or all stay. Without items, or without documents, nothing
+    changes. Each block of the benchmark after the first costs a pass over what is left, through the shared folder.
+    """
+    folder, blocks = _stored(benchmark)
+    for n, block in enumerate(blocks):
 
-        def run(batches, bench=bench):
-            matcher = Matcher(bench)
+        def run(batches, block=block):
+            matcher = _loaded(folder, block, edits, target)
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                leaks = {n for n, _ in matcher.find(texts)}
-                yield batch.filter(pa.array([n not in leaks for n in range(len(texts))], pa.bool_()))
+                for part, (texts,) in slices(batch, ["text"]):
+                    leaks = {n for n, _ in matcher.find(texts)}
+                    yield part.filter(pa.array([n not in leaks for n in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = (materialize(docs, "cleaned") if n else docs).mapInArrow(run, docs.schema)
     return docs

@@ -1,5 +1,9 @@
+import dataclasses
 import random
 
+import numpy as np
+import pytest
+
 from likeness.llm import decontaminate as d
 
 
@@ -77,3 +81,62 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
     assert d.matches(docs, items).count() == d.matches(docs, some).count() == 0
     assert d.clean(some.withColumnRenamed("item_id", "doc_id"), items).count() == 1
+    blank = spark.createDataFrame([(1, None), (None, "!?")], "item_id long, text string")
+    assert d.matches(some.withColumnRenamed("item_id", "doc_id"), blank).count() == 0
+
+
+def test_short_items_match_word_for_word(spark):
+    items = [(1, "zebra"), (2, "red fox"), (3, "one two three four"), (4, "a b c d e f g")]
+    docs = [(1, "The ZEBRA"), (2, "a red, fox"), (3, "a red big fox"), (4, "x one two three four y"), (5, "one two 3 four"), (6, "so a b c d e f g"), (7, "a b c D x f g"), (8, "a b x y e f g"), (9, "zebras")]
+    got = d.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["start_word"], r["n_words"], r["distance"]) for r in got.collect()} == {
+        (1, 1, 1, 1, 0), (2, 2, 1, 2, 0), (4, 3, 1, 4, 0), (6, 4, 1, 7, 0), (7, 4, 0, 7, 1)}
+
+
+def test_half_of_the_words_may_differ(spark):
+    docs, items = corpus(3)
+    docs, items = docs[:40] + [(900, items[2][1])], [i for i in items if len(i[1].split()) < 25][:4] + [items[2]]
+    got = d.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), edits=0.5)
+    found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    true = {(n, i) for n, text in docs for i, item in items if distance(d.tokens(item), d.tokens(text)) <= len(d.tokens(item)) // 2}
+    assert found <= true and len(found) >= 0.98 * len(true) and (900, items[-1][0]) in found
+    with pytest.raises(ValueError):
+        d.index([(1, "a b c")], edits=1.0)
+
+
+def test_candidates_come_from_the_buckets():
+    """Windows reach items by equal samples of the embedding alone: without buckets nothing is found, and few others meet."""
+    docs, items = corpus(4)
+    bench = d.index(items)
+    texts = [t for _, t in docs]
+    matcher = d.Matcher(bench)
+    assert matcher.find(texts)
+    symbols, begins, _ = matcher._laid(texts)
+    windows = matcher.windows(symbols)
+    start, item = matcher.meetings(symbols, windows)
+    assert len(start) < 0.1 * sum(len(w) * len(bench.classes[m][1]) for m, w in windows.items()) * len(bench.classes)
+    keys = {}
+    for walk, moves in enumerate(bench.moves):
+        for i, x in enumerate(bench.items):
+            own = d.bucket_keys(d.embed(np.append(x, 0), np.zeros(1, np.int64), moves), len(x), walk)[0]
+            keys.setdefault(i, set()).update(own.tolist())
+    for s, i in list(zip(start.tolist(), item.tolist()))[::50]:
+        m = len(bench.items[i])
+        own = [d.bucket_keys(d.embed(symbols, np.array([s]), moves), m, walk)[0] for walk, moves in enumerate(bench.moves)]
+        assert keys[i] & {k for x in own for k in x.tolist()}
+    none = d.Matcher(dataclasses.replace(bench, keys=bench.keys[:0], holds=bench.holds[:0]))
+    assert none.find(texts) == {}
+
+
+def test_edits_meet_as_often_as_planned():
+    """Held-out edits, other than those of planning, from the true start alone."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(14, 59)))) for i in range(300)]
+    matcher = d.Matcher(d.index(items))
+    texts, hit = [], 0
+    for _, text in items:
+        words = text.split()
+        texts.append(" ".join(edited(rng, words, int(0.2 * len(words)))))
+    found = matcher.find(texts)
+    hit = sum((n, i) in found for n, (i, _) in enumerate(items))
+    assert hit >= 0.98 * len(items)
