@@ -2,14 +2,18 @@
 
 The corpus itself is the reference, indexed in blocks. Any 20 words contain an anchor, the smallest of
 their 5-gram hashes, so anchors are a sampled index that no passage of 20 words escapes, and an anchor's
-leading bits name the block that all windows around it belong to. A document is parsed where its
-anchors occur a second time in the corpus: each 20-word window there is looked up in its block, which
-knows the first occurrence. A factor is a longest run of windows whose first occurrences follow each
-other; where the source changes, the next factor starts at the boundary window, which has been looked
-up like all others, so no repeated window is lost between two factors.
-
-Records travel packed, many to a row, and what a batch of documents repeats within itself is settled
-there, so a passage that a third of all documents share reaches its block once per batch.
+leading bits name the block that all windows around it belong to. A document is cut into segments where
+its anchors occur a second time in the corpus, and each segment, with its words, goes to its block. There
+it is parsed greedily against all segments that come before it: the first window that has occurred
+opens a factor, copied from the window's first occurrence, and the factor goes on for as long as the words of
+both agree. Where it ends, each window that the boundary cuts is looked up in turn, and the next that has occurred opens the next
+factor, so no repeated window is lost between two factors. Factors are at least one window long; they are
+the spans that go. Hashes only find windows; that they are equal is decided by their words.
+
+Records travel packed, many to a row. Each slice of documents is first a block of its own: what it
+repeats within itself is settled there, so a passage that a third of all documents share
+reaches its block once per slice. In large corpora, blocks are first parsed in parts, and only what is new in
+its part reaches the whole block.
 """
 
 from __future__ import annotations
@@ -28,6 +32,12 @@ REMEMBERED = 500_000
 _GRAM_BASE, _KEY_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Text bytes per index block, and how many blocks there may be, as powers of two.
 BLOCK_BYTES, LEAST_BITS, MOST_BITS = 2_000_000, 5, 24
+#: Text bytes from which on blocks are parsed in two parts first, in four from the double, and so on up to so many.
+PART_BYTES, MOST_PARTS = 64_000_000_000, 4096
+#: Text bytes per task where whole texts are shuffled.
+TASK_BYTES = 64_000_000
+#: Documents of a slice, which is parsed as a block of its own before its segments are dealt to blocks.
+SLICE_DOCS = 2048
 #: Bits of a document's join key, and of an anchor's mark. Coinciding keys or marks only add look-ups.
 KEY_BITS, MARK_BITS = 40, 24
 _LAST_ID = 2**63 - 1
@@ -143,8 +153,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return named.select(F.xxhash64("did", "th").bitwiseAND(F.lit(2**KEY_BITS - 1)).alias("dk"), "did", "th", "text")
 
 
-def _block_bits(docs: DataFrame) -> int:
-    size = docs.agg(F.sum(F.octet_length(fill(F.col("text"))))).first()[0] or 0
+def _text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length(fill(F.col("text"))))).first()[0] or 0
+
+
+def _block_bits(size: int) -> int:
     return max(LEAST_BITS, min(MOST_BITS, (size // BLOCK_BYTES).bit_length()))
 
 
@@ -215,167 +228,268 @@ def _repeated_anchors(places: DataFrame) -> DataFrame:
     return places.groupBy("block").applyInArrow(run, "dk long, mark int")
 
 
-_RUN = [("d", "<i8"), ("t", "<i8"), ("s", "<i4"), ("n", "<i4")]
-_HIT = [("s", "<i4"), ("d", "<i8"), ("a", "<i4")]
+#: A segment: document (id and text hash), first word, number of windows. A factor: first word, words, and where its source starts.
+_SEGMENT = [("d", "<i8"), ("t", "<i8"), ("s", "<i4"), ("n", "<i4")]
+_FACTOR = [("s", "<i4"), ("n", "<i4"), ("d", "<i8"), ("a", "<i4")]
 
 
-def _settled(k, did, th, start):
-    """Sorts windows by key and place: (order, positions of first occurrences, of others, and their firsts')."""
+def _numbered(words) -> object:
+    """Numbers that are equal exactly where words are."""
     import numpy as np
 
-    order = np.lexsort((start, th, did, k))
-    k, did, th, start = k[order], did[order], th[order], start[order]
-    order = order[_starts(k, did, th, start)]  # a repeated row is the same document
-    k = k[np.sort(_starts(k, did, th, start))]
-    first = _starts(k)
-    size = np.diff(np.append(first, len(k)))
-    later = np.ones(len(k), bool)
-    later[first] = False
-    return order[first], order[later], order[np.repeat(first, size)[later]]
+    known: dict = {}
+    return np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
 
 
-def _hits(later, source, did, th, start, sources: bool):
-    """Per document, its repeated windows: (dk left out) did, th and packed (start, source id, source start)."""
+def _parse(segments, ids, window: int):
+    """Greedy factors of segments against each other, and which windows have no earlier occurrence among them.
+
+    ``segments``: records of _SEGMENT; ``ids``: the words of all of them in turn, numbered, so a segment of n windows
+    has n + window - 1. Segments of one document may overlap or repeat: a window is known by document
+    and first word. Returns (owner, factors, windows, new): per factor its segment and a _FACTOR record; per window its segment,
+    its place there and whether it is new.
+    """
     import numpy as np
 
-    order = np.lexsort((start[later], th[later], did[later]))
-    later, source = later[order], source[order]
-    cut = _starts(did[later], th[later])
-    if sources:
-        rec = np.empty(len(later), _HIT)
-        rec["s"], rec["d"], rec["a"] = start[later], did[source], start[source]
-    else:
-        rec = start[later].astype("<i4")
-    return did[later[cut]], th[later[cut]], _binary(cut, rec)
+    n = segments["n"].astype(np.int64)
+    begins = np.cumsum(n + window - 1) - (n + window - 1)
+    owner = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    at, start = begins[owner] + within, segments["s"][owner] + within
+    did, th = segments["d"][owner], segments["t"][owner]
+    key = _rolled(ids.astype(np.uint64) + np.uint64(1), at, window, _KEY_BASE)
+    # The index: windows of equal hash in order of their places. Those whose words differ from the first's are grouped again.
+    left, source = np.lexsort((start, th, did, key)), np.arange(len(owner))
+    while len(left):
+        first = _starts(key[left])
+        head = np.repeat(left[first], np.diff(np.append(first, len(left))))
+        same = np.ones(len(left), bool)
+        for j in range(window):
+            same &= ids[at[left] + j] == ids[at[head] + j]
+        source[left[same]] = head[same]
+        left = left[~same]
+    again = (did != did[source]) | (th != th[source]) | (start != start[source])
+    # Runs of windows whose first occurrences follow each other are copied as a whole.
+    opens = again.copy()
+    opens[1:] &= ~(again[:-1] & (owner[1:] == owner[:-1]) & (source[1:] == source[:-1] + 1) & (owner[source[1:]] == owner[source[:-1]]))
+    closes = again.copy()
+    closes[:-1] &= opens[1:] | ~again[1:]
+    lo, hi = np.nonzero(opens)[0], np.nonzero(closes)[0]
+    copied = source[lo]
+    # Windows after each in its segment. A factor goes on where its source's next word is its own next word.
+    after = np.repeat(n, n) - 1 - within
+    end = source[hi]
+    more = (after[hi] > 0) & (after[end] > 0)
+    more[more] = ids[at[hi[more]] + window] == ids[at[end[more]] + window]
+    if more.any():
+        lo, hi, copied = lo.tolist(), hi.tolist(), copied.tolist()
+        factors, reach = [], -1
+        for f, (x, y, c) in enumerate(zip(lo, hi, copied, strict=True)):
+            if y <= reach:
+                continue
+            if x <= reach:
+                x, c = reach + 1, c + reach + 1 - x
+            if more[f]:
+                e, room = c + y - x, min(int(after[y]), int(after[c + y - x]))
+                differ = np.nonzero(ids[at[y] + window : at[y] + window + room] != ids[at[e] + window : at[e] + window + room])[0]
+                y += int(differ[0]) if len(differ) else room
+            factors.append((x, y, c))
+            reach = y
+        lo, hi, copied = (np.array(x, np.int64) for x in zip(*factors, strict=True))
+    found = np.empty(len(lo), _FACTOR)
+    found["s"], found["n"], found["d"], found["a"] = start[lo], hi - lo + window, did[copied], start[copied]
+    return owner[lo], found, owner, within, ~again
+
+
+def _by_document(did, th, factors):
+    """Per document its factors, packed: did, th, hits."""
+    import numpy as np
+
+    order = np.lexsort((factors["s"], th, did))
+    did, th = did[order], th[order]
+    cut = _starts(did, th)
+    return pa.array(did[cut], pa.int64()), pa.array(th[cut], pa.int64()), _binary(cut, factors[order])
+
+
+def _new_runs(segments, owner, within, new):
+    """The runs of new windows within segments: (segment, first window, windows)."""
+    import numpy as np
+
+    owner, within = owner[new], within[new]
+    cut = _starts(owner, within - np.arange(len(within)))
+    return owner[cut], within[cut], np.diff(np.append(cut, len(owner)))
+
+
+_LOOKUPS = pa.schema(
+    [("block", pa.int64()), ("part", pa.int32()), ("segments", pa.binary()), ("words", pa.binary()), ("did", pa.int64()), ("th", pa.int64()), ("hits", pa.binary())]
+)
+
 
+def _packed(block, part: int, segments, words: list[bytes], did, th, hits, spread) -> pa.RecordBatch:
+    """Segments with their words by block, and factors that are settled, which go along anywhere."""
+    import numpy as np
 
-def _window_lookups(candidates: DataFrame, bits: int, window: int, gram: int, sources: bool) -> DataFrame:
-    """``block, runs, keys, did, th, hits``: windows to look up, packed by block, or what a batch has settled."""
+    order = np.argsort(block, kind="stable")
+    cut = _starts(block[order])
+    edges = np.append(cut, len(order)).tolist()
+    texts = [b" ".join([words[i] for i in order[a:b].tolist()]) for a, b in zip(edges, edges[1:], strict=False)] if len(order) else []
+    n, m = len(cut), len(did)
+    empty = lambda k, kind: pa.nulls(k, kind)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([block[order][cut], spread]).astype(np.int64)), pa.array(np.full(n + m, part, np.int32)),
+            pa.concat_arrays([_binary(cut, segments[order]), empty(m, pa.binary())]), pa.concat_arrays([pa.array(texts, pa.binary()), empty(m, pa.binary())]),
+            pa.concat_arrays([empty(n, pa.int64()), did]), pa.concat_arrays([empty(n, pa.int64()), th]), pa.concat_arrays([empty(n, pa.binary()), hits]),
+        ],
+        schema=_LOOKUPS,
+    )
+
+
+def _segments(candidates: DataFrame, bits: int, parts: int, window: int, gram: int) -> DataFrame:
+    """Segments by block, after each slice of documents has been parsed against itself."""
 
     def run(batches):
         import numpy as np
 
         hashes = _WordHashes()
         for batch in batches:
-            parts = []
-            for part, texts in _located(batch, "text"):
-                values, counts = _words(texts, hashes)
-                at, h, starts, least = _anchors(values, counts, window, gram)
+            for lo in range(0, batch.num_rows, SLICE_DOCS):
+                part = batch.slice(lo, SLICE_DOCS)
+                column = lambda name: part.column(part.schema.get_field_index(name))  # noqa: B023, E731
+                texts = [t.encode("utf-8", "surrogatepass").split() for t in column("text").to_pylist()]
+                counts = np.fromiter(map(len, texts), np.int64, len(texts))
+                values = np.fromiter((v for words in texts for v in map(hashes.__getitem__, words)), np.uint64, int(counts.sum()))
+                _, _, starts, least = _anchors(values, counts, window, gram)
                 offsets = np.cumsum(counts) - counts
-                known = part.column(part.schema.get_field_index("known"))
-                owner = np.repeat(np.arange(part.num_rows), np.diff(known.offsets.to_numpy()))
+                known = column("known")
+                marked = np.repeat(np.arange(part.num_rows), np.diff(known.offsets.to_numpy()))
                 # Marks of a document and its anchors, as one number each.
-                wanted = (owner << MARK_BITS) + known.flatten().to_numpy()
-                doc_of = lambda x: np.searchsorted(offsets + counts, x, side="right")  # noqa: B023, E731
-                own = (doc_of(starts) << MARK_BITS) + (least & np.uint64(2**MARK_BITS - 1)).astype(np.int64)
+                wanted = (marked << MARK_BITS) + known.flatten().to_numpy()
+                doc = np.searchsorted(offsets + counts, starts, side="right")
+                own = (doc << MARK_BITS) + (least & np.uint64(2**MARK_BITS - 1)).astype(np.int64)
                 again = np.isin(own, wanted)
-                starts, least = starts[again], least[again]
-                doc = doc_of(starts)
-                parts.append((
-                    (least >> np.uint64(64 - bits)).astype(np.int64), _rolled(values, starts, window, _KEY_BASE),
-                    _numpy(part, "did")[doc], _numpy(part, "th")[doc], (starts - offsets[doc]).astype(np.int32),
-                ))
-            block, k, did, th, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            first, later, source = _settled(k, did, th, start)
-            ids, marks, hits = _hits(later, source, did, th, start, sources)
-            first = first[np.lexsort((start[first], th[first], did[first], block[first]))]
-            block, k, did, th, start = (x[first] for x in (block, k, did, th, start))
-            new = _starts(block, did, th, start - np.arange(len(start), dtype=np.int32))
-            runs = np.empty(len(new), _RUN)
-            runs["d"], runs["t"], runs["s"], runs["n"] = did[new], th[new], start[new], np.diff(np.append(new, len(start)))
-            cut = _starts(block)
-            per_block = np.searchsorted(new, cut)
-            empty = lambda n, kind: pa.nulls(n, kind)
-            spread = (ids ^ (ids >> 17) ^ marks) & (2**bits - 1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([block[cut], spread])), pa.concat_arrays([_binary(per_block, runs), empty(len(ids), pa.binary())]),
-                    pa.concat_arrays([_binary(cut, k), empty(len(ids), pa.binary())]), pa.concat_arrays([empty(len(cut), pa.int64()), pa.array(ids)]),
-                    pa.concat_arrays([empty(len(cut), pa.int64()), pa.array(marks)]), pa.concat_arrays([empty(len(cut), pa.binary()), hits]),
-                ],
-                names=["block", "runs", "keys", "did", "th", "hits"],
-            )
-
-    return candidates.mapInArrow(run, "block long, runs binary, keys binary, did long, th long, hits binary")
-
-
-def _found(lookups: DataFrame, sources: bool) -> DataFrame:
-    """``did, th, hits``: repeated windows per document, block by block."""
+                starts, doc = starts[again], doc[again]
+                block = (least[again] >> np.uint64(64 - bits)).astype(np.int64)
+                # A segment: windows of one document and block that follow each other.
+                cut = _starts(block, doc, starts - np.arange(len(starts)))
+                dids, ths = _numpy(part, "did"), _numpy(part, "th")
+                segments = np.empty(len(cut), _SEGMENT)
+                segments["d"], segments["t"], segments["s"] = dids[doc[cut]], ths[doc[cut]], starts[cut] - offsets[doc[cut]]
+                segments["n"] = np.diff(np.append(cut, len(starts)))
+                owners, block = doc[cut], block[cut]
+                pieces = [texts[o][s : s + n + window - 1] for o, s, n in zip(owners.tolist(), segments["s"].tolist(), segments["n"].tolist(), strict=True)]
+                of, factors, *windows = _parse(segments, _numbered([w for p in pieces for w in p]), window)
+                did, th, hits = _by_document(segments["d"][of], segments["t"][of], factors)
+                seg, first, n = _new_runs(segments, *windows)
+                rest = segments[seg]
+                rest["s"] += first.astype(np.int32)
+                rest["n"] = n
+                words = [b" ".join(pieces[o][f : f + k + window - 1]) for o, f, k in zip(seg.tolist(), first.tolist(), n.tolist(), strict=True)]
+                spread = (did.to_numpy() ^ (did.to_numpy() >> 17) ^ th.to_numpy()) & (2**bits - 1)
+                # Which part of its blocks a slice's segments go to hangs on its documents alone.
+                share = int(np.bitwise_xor.reduce(ths)) % parts if len(ths) else 0
+                yield _packed(block[seg], share, rest, words, did, th, hits, spread)
+
+    return candidates.mapInArrow(run, "block long, part int, segments binary, words binary, did long, th long, hits binary")
+
+
+def _blockwise(lookups: DataFrame, window: int, by: tuple[str, ...], last: bool) -> DataFrame:
+    """Segments parsed block by block: ``did, th, hits``; unless ``last``, what is new goes on, in the same form."""
 
     def run(table: pa.Table) -> pa.Table:
         import numpy as np
 
         table = table.combine_chunks()
         settled = table.filter(pa.compute.is_valid(table["hits"]))
-        runs = np.frombuffer(b"".join(x for x in table["runs"].to_pylist() if x), _RUN)
-        k = np.frombuffer(b"".join(x for x in table["keys"].to_pylist() if x), "<u8")
-        n = runs["n"].astype(np.int64)
-        did, th = np.repeat(runs["d"], n), np.repeat(runs["t"], n)
-        start = (np.repeat(runs["s"] - (np.cumsum(n) - n), n) + np.arange(len(k))).astype(np.int32)
-        _, later, source = _settled(k, did, th, start)
-        ids, marks, hits = _hits(later, source, did, th, start, sources)
-        own = pa.table({"did": pa.array(ids, pa.int64()), "th": pa.array(marks, pa.int64()), "hits": hits})
-        return pa.concat_tables([own, settled.select(["did", "th", "hits"]).cast(own.schema)])
-
-    return lookups.groupBy("block").applyInArrow(run, "did long, th long, hits binary")
-
-
-def _parsed(docs: DataFrame, window: int, gram: int, sources: bool) -> DataFrame:
-    """``did, th, text, found`` of every row: packed repeated windows, of this document or one with the same dk."""
-    keyed, bits = _keyed(docs), _block_bits(docs)
+        packed = [x for x in table["segments"].to_pylist() if x]
+        segments = np.frombuffer(b"".join(packed), _SEGMENT)
+        words = b" ".join(x for x in table["words"].to_pylist() if x is not None).split(b" ") if packed else []
+        of, factors, owner, within, new = _parse(segments, _numbered(words), window)
+        did, th, hits = _by_document(segments["d"][of], segments["t"][of], factors)
+        if last:
+            own = pa.table({"did": did, "th": th, "hits": hits})
+            return pa.concat_tables([own, settled.select(["did", "th", "hits"]).cast(own.schema)])
+        seg, first, n = _new_runs(segments, owner, within, new)
+        rest = segments[seg]
+        begins = np.cumsum(segments["n"].astype(np.int64) + window - 1) - (segments["n"] + window - 1)
+        begin = begins[seg] + first
+        rest["s"] += first.astype(np.int32)
+        rest["n"] = n
+        pieces = [b" ".join(words[b : b + k + window - 1]) for b, k in zip(begin.tolist(), n.tolist(), strict=True)]
+        block = table["block"][0].as_py()
+        out = _packed(np.full(len(rest), block), 0, rest, pieces, did, th, hits, np.full(len(did), block))
+        return pa.concat_tables([pa.Table.from_batches([out]), settled.cast(_LOOKUPS)])
+
+    schema = "did long, th long, hits binary"
+    return lookups.groupBy(*by).applyInArrow(run, schema if last else f"block long, part int, segments binary, words binary, {schema}")
+
+
+def _parsed(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """``did, th, text, found`` of every row: packed factors, of this document or one with the same dk."""
+    size = _text_bytes(docs)
+    bits, parts = _block_bits(size), min(MOST_PARTS, 1 << (size // PART_BYTES).bit_length())
+    keyed = _keyed(docs)
     known = _repeated_anchors(_anchor_places(keyed, bits, window, gram)).groupBy("dk").agg(F.collect_list("mark").alias("known"))
-    # The documents' exchange by dk is planned once and reused by the last join below.
+    # Whole texts are shuffled once, to tasks of bounded size; that exchange is planned once and reused by the last join below.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    keyed = keyed.repartition(tasks, "dk")
     met = keyed.join(known, "dk").select("did", "th", "known", "text")
-    hits = _found(_window_lookups(met, bits, window, gram, sources), sources)
+    lookups = _segments(met, bits, parts, window, gram)
+    if parts > 1:
+        lookups = _blockwise(lookups, window, ("block", "part"), False)
+    hits = _blockwise(lookups, window, ("block",), True)
     key = F.xxhash64("did", "th").bitwiseAND(F.lit(2**KEY_BITS - 1)).alias("dk")
     hits = hits.groupBy(key).agg(F.collect_list(F.struct("did", "th", "hits")).alias("found"))
     return keyed.join(hits, "dk", "left").select("did", "th", "text", "found")
 
 
-def _of_document(found, did: int, th: int, kind):
-    """The records of a document among those of its join key."""
+def _of_document(found, did: int, th: int):
+    """The factors of a document among those of its join key, by first word."""
     import numpy as np
 
-    return np.frombuffer(b"".join(f["hits"] for f in found or () if f["did"] == did and f["th"] == th), kind)
+    own = np.frombuffer(b"".join(f["hits"] for f in found or () if f["did"] == did and f["th"] == th), _FACTOR)
+    return own[np.argsort(own["s"], kind="stable")]
 
 
 def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``doc_id, start, length, source_id, source_start``: the factors of every document, in words.
 
-    Null ids read as null again. A document without repeated windows has no factor.
+    Factors that meet at the edge of two blocks and copy on from one source are told as one. Null ids read as null
+    again. A document without repeated windows, a null or an empty text has no factor; of repeated rows each has
+    them. An empty table gives none. Which of several equal passages a factor copies is the first its block knows.
     """
 
     def run(batches):
-        import numpy as np
-
         for batch in batches:
             out = []
             for did, th, found in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                own = _of_document(found, did, th, _HIT)
-                own = own[np.unique(own["s"], return_index=True)[1]]
-                breaks = np.nonzero((np.diff(own["s"]) != 1) | (np.diff(own["d"]) != 0) | (np.diff(own["a"]) != 1))[0] + 1
-                for part in np.split(own, breaks) if len(own) else ():
-                    s, d, a = part[0].tolist()
-                    out.append((did, s, len(part) + window - 1, d, a))
+                own = []
+                for s, n, d, a in _of_document(found, did, th).tolist():
+                    if own and own[-1][3] == d and own[-1][4] - own[-1][1] == a - s and s <= own[-1][1] + own[-1][2]:
+                        own[-1][2] = max(own[-1][2], s + n - own[-1][1])
+                    else:
+                        own.append([did, s, n, d, a])
+                out += own
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "source_id", "source_start"]
             )
 
-    parsed = _parsed(docs, window, gram, True).select("did", "th", "found")
+    parsed = _parsed(docs, window, gram).select("did", "th", "found")
     out = parsed.mapInArrow(run, "doc_id long, start int, length int, source_id long, source_start int")
     back = lambda c: F.nullif(c, F.lit(_LAST_ID)).alias(c)
     return out.select(back("doc_id"), "start", "length", back("source_id"), "source_start")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept`` for each row: the words outside all repeated windows, joined by a space.
+    """``doc_id, n_words, n_removed, kept`` for each row: the words outside all factors, joined by a space.
 
     A window of ``window`` words of one document is repeated if the same words start earlier: in a
-    document of smaller id, or in the same one further ahead. Windows are judged on the input. Null
-    and empty texts have no words. A null id comes after all others. Rows that share an id are the
-    same document if their texts are equal, else ordered by a hash of the text. Other columns are ignored.
+    document of smaller id, or in the same one further ahead; factors cover exactly the repeated windows. Windows are
+    judged on the input. Null and empty texts have no words. A null id comes after all others. Rows that share an id
+    are the same document if their texts are equal, else ordered by a hash of the text. An empty table gives an empty
+    result. Other columns are ignored.
     """
 
     def run(batches):
@@ -387,12 +501,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 n_words, n_removed, kept = [], [], []
                 for did, th, text, own in zip(*(x.to_pylist() for x in (ids, marks, texts, found)), strict=True):
                     words = text.encode("utf-8", "surrogatepass").split()
-                    own = _of_document(own, did, th, "<i4")
+                    own = _of_document(own, did, th)
                     n_words.append(len(words))
                     if len(own):
                         edge = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(edge, own, 1)
-                        np.add.at(edge, own + window, -1)
+                        np.add.at(edge, own["s"], 1)
+                        np.add.at(edge, own["s"] + own["n"], -1)
                         stay = np.cumsum(edge[:-1]) == 0
                         words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                     n_removed.append(n_words[-1] - len(words))
@@ -402,7 +516,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                     names=["doc_id", "n_words", "n_removed", "kept"],
                 )
 
-    parsed = _parsed(docs, window, gram, False)
+    parsed = _parsed(docs, window, gram)
     out = parsed.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST_ID)))
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from likeness.llm import substrings
 
 
@@ -53,6 +55,51 @@ def test_short_windows_match_brute_force(spark):
     assert got == brute(rows, 7)
 
 
+def test_blocks_in_parts_match_brute_force(spark, monkeypatch):
+    rows = corpus(4) + [(None, "x " * 90), (700, None)]
+    monkeypatch.setattr(substrings, "PART_BYTES", 1)
+    monkeypatch.setattr(substrings, "MOST_PARTS", 4)
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in substrings.remove_repeats(df).collect()}
+    assert got == brute(rows, 20)
+
+
+def parsed(documents, window):
+    """(factors, new windows) of whole documents parsed against each other."""
+    words = [t.split() for t in documents]
+    segments = np.array([(i, 0, 0, len(w) - window + 1) for i, w in enumerate(words)], substrings._SEGMENT)
+    of, found, owner, within, new = substrings._parse(segments, substrings._numbered([w for d in words for w in d]), window)
+    return [(int(o), *f) for o, f in zip(of, found.tolist())], {(int(o), int(w)) for o, w, n in zip(owner, within, new) if n}
+
+
+def test_factors_are_greedy():
+    # The second copy of "b c d" occurs first in document 0; a factor opened in document 1 goes on past it.
+    found, new = parsed(["b c d", "a b c d e f", "a b c d e g"], 3)
+    assert found == [(1, 1, 3, 0, 0), (2, 0, 5, 1, 0)]
+    assert new == {(0, 0), (1, 0), (1, 2), (1, 3), (2, 3)}
+    found, _ = parsed(["x x x x x x"], 2)
+    assert found == [(0, 1, 5, 0, 0)]
+
+
+def test_words_decide_not_hashes(monkeypatch):
+    documents = ["a b c d e", "c d e f g", "b c d e f g a", "a b c d e"]
+    expected = parsed(documents, 3)
+    monkeypatch.setattr(substrings, "_rolled", lambda values, at, length, base: np.zeros(len(at), np.uint64))
+    assert parsed(documents, 3) == expected
+
+
+def test_only_factors_remove_words(spark, monkeypatch):
+    rows = corpus(5, 40)
+    spans = {}
+    df, got = run(spark, rows)
+    for f in substrings.factors(df).collect():
+        spans.setdefault(f["doc_id"], set()).update(range(f["start"], f["start"] + f["length"]))
+    assert sum(v[1] for v in got.values()) > 0
+    for i, text in rows:
+        kept = " ".join(w for n, w in enumerate(text.split()) if n not in spans.get(i, ()))
+        assert got[i][2] == hashlib.sha256(kept.encode()).hexdigest()
+
+
 def test_factors_copy_from_the_first_occurrence(spark):
     rows = corpus(3)
     df, _ = run(spark, rows)
