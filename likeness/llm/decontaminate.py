@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from likeness.llm.common import file_system, fill, materialize, shared_path, slices
 
-EDITS, TARGET_RECALL, SEED = 0.2, 0.99, 11
+EDITS, TARGET_RECALL, SEED = 0.2, 0.999, 11
 #: Coordinates that must agree, and samples drawn from one walk.
 SAMPLED, SAMPLES_PER_WALK = 2, 4
 #: Outputs of the embedding per word, and the first share of them that is sampled: by then a walk has run
@@ -70,6 +70,7 @@ def embed(symbols, starts, moves):
     return out, passed
 
 
+@lru_cache(maxsize=1 << 16)
 def _coordinates(length: int, walk: int):
     """Per sample of a walk, the steps that are compared for rows of ``length`` words."""
     import numpy as np
@@ -82,16 +83,17 @@ def _steps(longest: int) -> int:
     return max(1, math.ceil(SAMPLED_SHARE * OUTPUTS * longest))
 
 
-def bucket_keys(embedded, length: int, walk: int):
-    """Per row and sample, the key of its bucket: row length, sample and the symbols at its coordinates."""
+def bucket_keys(embedded, length: int, walk: int, rows=slice(None)):
+    """Per chosen row and sample, the key of its bucket: row length, sample and the symbols at its coordinates."""
     import numpy as np
 
     out, passed = embedded
-    keys = np.empty((len(out), SAMPLES_PER_WALK), np.uint64)
+    n_rows = len(out) if isinstance(rows, slice) else len(rows)
+    keys = np.empty((n_rows, SAMPLES_PER_WALK), np.uint64)
     for n, steps in enumerate(_coordinates(length, walk)):
-        x = np.full(len(out), (length * 7919 + walk * SAMPLES_PER_WALK + n) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+        x = np.full(n_rows, (length * 7919 + walk * SAMPLES_PER_WALK + n) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
         for step in steps:
-            symbol = np.where(passed[:, step] < length, out[:, step], 0).astype(np.uint64)
+            symbol = np.where(passed[rows, step] < length, out[rows, step], 0).astype(np.uint64)
             x = (x ^ symbol) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(29)
         keys[:, n] = x
@@ -124,10 +126,13 @@ class Benchmark:
     items: list  # arrays of symbols
     symbols: dict
     pairs: object  # sorted codes of word pairs
+    first: object  # per code, where its lengths start
+    lengths: object  # the lengths of the items that hold it
     classes: dict  # length -> (edits allowed, items)
     moves: list  # per walk, the bits that move it on
     keys: object  # sorted keys of the items' buckets
-    holds: object  # and the item of each
+    holds: object  # the item of each
+    marks: object  # and a mark at the last bits of each, so that most keys without items need no search
 
     @property
     def longest(self) -> int:
@@ -191,7 +196,9 @@ def index(rows: list[tuple[object, str]], edits: float = EDITS, target: float =
         ids.append(i)
         items.append(np.array([symbols.setdefault(w, len(symbols) + 1) for w in words], np.int64))
     base = len(symbols) + 1
-    pairs = np.unique(np.concatenate([x[:-1] * base + x[1:] for x in items])) if items else np.empty(0, np.int64)
+    code = [np.stack([x[:-1] * base + x[1:], np.full(len(x) - 1, len(x))]) for x in items]
+    code = np.unique(np.concatenate([np.empty((2, 0), np.int64), *code], axis=1), axis=1)
+    pairs, first = np.unique(code[0], return_index=True)
     by_length: dict[int, list[int]] = {}
     for n, item in enumerate(items):
         by_length.setdefault(len(item), []).append(n)
@@ -207,7 +214,9 @@ def index(rows: list[tuple[object, str]], edits: float = EDITS, target: float =
                 holds.append(np.repeat(part, SAMPLES_PER_WALK))
     keys, holds = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (keys, holds))
     order = np.argsort(keys, kind="stable")
-    return Benchmark(ids, id_type, items, symbols, pairs, classes, moves, keys[order], holds[order].astype(np.int64))
+    marks = np.zeros(1 << max(16, (32 * len(keys)).bit_length()), bool)
+    marks[(keys & np.uint64(len(marks) - 1)).astype(np.int64)] = True
+    return Benchmark(ids, id_type, items, symbols, pairs, np.append(first, code.shape[1]), code[1], classes, moves, keys[order], holds[order].astype(np.int64), marks)
 
 
 def _openings(at, need: int, width: int):
@@ -253,7 +262,8 @@ class Matcher:
     def windows(self, symbols) -> dict:
         """Per length of items, where windows start: at every word from which on enough stays of some stretch within the limit.
 
-        An edit spoils two pairs of words at most, or one word where that would leave no pair.
+        An edit spoils two pairs of words at most, or one word where that would leave no pair. Only pairs that
+        items of that length hold are counted.
         """
         import numpy as np
 
@@ -263,18 +273,21 @@ class Matcher:
         codes, pairs = symbols[both] * (len(self.bench.symbols) + 1) + symbols[both + 1], self.bench.pairs
         place = np.searchsorted(pairs, codes)
         place[place == len(pairs)] = 0
-        pair = both[pairs[place] == codes] if len(pairs) else both[:0]
+        hit = np.nonzero(pairs[place] == codes)[0] if len(pairs) else both[:0]
+        sizes = self.bench.first[place[hit] + 1] - self.bench.first[place[hit]]
+        entry = np.repeat(self.bench.first[place[hit]] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        pair, held = np.repeat(both[hit], sizes), self.bench.lengths[entry]
         found = {}
         for m, (k, _) in self.bench.classes.items():
             stay = m - 1 - 2 * k
-            found[m] = _openings(pair, stay, m + k - 1) if stay > 0 else _openings(word, m - k, m + k)
+            found[m] = _openings(pair[held == m], stay, m + k - 1) if stay > 0 else _openings(word, m - k, m + k)
         return found
 
     def meetings(self, symbols, windows: dict):
         """(start, item) of the windows and the items in their buckets."""
         import numpy as np
 
-        keys, holds = self.bench.keys, self.bench.holds
+        keys, holds, marks = self.bench.keys, self.bench.holds, self.bench.marks
         every = np.unique(np.concatenate(list(windows.values()))) if windows else np.empty(0, np.int64)
         out = [np.empty((2, 0), np.int64)]
         for lo in range(0, len(every), ROWS):
@@ -287,12 +300,14 @@ class Matcher:
             for walk, moves in enumerate(self.bench.moves):
                 embedded = embed(symbols, starts, moves)
                 for m, rows in own.items():
-                    asked = bucket_keys(tuple(x[rows] for x in embedded), m, walk).ravel()
-                    first, end = np.searchsorted(keys, asked), np.searchsorted(keys, asked, side="right")
-                    sizes = end - first
-                    hit = np.nonzero(sizes)[0]
-                    posting = np.repeat(first[hit] - np.cumsum(sizes[hit]) + sizes[hit], sizes[hit]) + np.arange(int(sizes.sum()))
-                    out.append(np.stack([np.repeat(starts[rows[hit // SAMPLES_PER_WALK]], sizes[hit]), holds[posting]]))
+                    asked = bucket_keys(embedded, m, walk, rows).ravel()
+                    hit = np.nonzero(marks[(asked & np.uint64(len(marks) - 1)).astype(np.int64)])[0]
+                    if not len(hit):
+                        continue
+                    first = np.searchsorted(keys, asked[hit])
+                    sizes = np.searchsorted(keys, asked[hit], side="right") - first
+                    posting = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+                    out.append(np.stack([np.repeat(starts[rows[hit // SAMPLES_PER_WALK]], sizes), holds[posting]]))
             if sum(x.shape[1] for x in out) > 1 << 20:
                 out = [np.unique(np.concatenate(out, axis=1), axis=1)]
         return np.unique(np.concatenate(out, axis=1), axis=1)
