@@ -4,7 +4,8 @@ A dictionary trained on good text shortens good text more than one trained on ba
 document is cut into blocks, each compressed on its own with either dictionary, so that long
 documents keep being judged by the dictionaries and not by their own beginning. The difference of
 the two sizes, divided by the raw size, goes through a logistic curve fitted on labelled documents
-that the dictionaries have not seen.
+that the dictionaries have not seen. The curve passes through the share of good labels for a text without
+bytes, and short texts stay near it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from likeness.llm.common import fill, materialize, slices
 #: Fitting reads at most so many labelled documents of each class and so many bytes of their text.
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 24_000_000
 DICT_BYTES, BLOCK, LEVEL = 65_536, 512, 3
-#: A text counts as if it had so many more bytes of middling quality; keeps very short texts near the prior.
+#: A text's size counts as so many bytes more; keeps very short texts near the share of good labels.
 PRIOR_BYTES = 48
 
 
@@ -32,9 +33,10 @@ class CompressionModel:
     good: bytes
     bad: bytes
     raw: bool
+    #: Log odds of a good label, the weight of the bytes saved per byte, and the weight of there being bytes.
+    prior: float
     slope: float
-    intercept: float
-    middle: float
+    lean: float
 
     def scorer(self):
         import zstandard
@@ -51,18 +53,19 @@ class CompressionModel:
 
         good, bad = squeeze(self.good), squeeze(self.bad)
 
-        def feature(text: str | None) -> float:
+        def features(text: str | None) -> tuple[float, float]:
+            """Bytes that the good dictionary saves over the bad one, and raw bytes, both over raw bytes and PRIOR_BYTES."""
             data = (text or "").encode("utf-8", "surrogatepass")
             saved = 0
             for at in range(0, len(data), BLOCK):
                 block = data[at : at + BLOCK]
                 saved += len(bad.compress(block)) - len(good.compress(block))
-            return (saved + PRIOR_BYTES * self.middle) / (len(data) + PRIOR_BYTES)
+            return saved / (len(data) + PRIOR_BYTES), len(data) / (len(data) + PRIOR_BYTES)
 
-        return feature
+        return features
 
-    def probability(self, feature: float) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, self.slope * feature + self.intercept))))
+    def probability(self, saved: float, size: float) -> float:
+        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, self.prior + self.slope * saved + self.lean * size))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -112,21 +115,22 @@ def _dictionary(texts: list[str], size: int) -> tuple[bytes, bool]:
         return b"".join(blocks)[:size], True
 
 
-def _logistic(x: list[float], y: list[int], weight: list[float]) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, with a slight pull to zero on the standardised slope."""
+def _logistic(x, y: list[int], weight: list[float], prior: float) -> tuple[float, float]:
+    """Weights of two features by Newton's method, log odds ``prior`` where both are zero, with a slight pull to zero."""
     import numpy as np
 
-    x, y, weight = np.asarray(x), np.asarray(y, dtype=float), np.asarray(weight)
-    mean, spread = x.mean(), max(x.std(), 1e-9)
-    design, w = np.column_stack([(x - mean) / spread, np.ones(len(x))]), np.zeros(2)
+    x, y, weight = np.asarray(x, dtype=float), np.asarray(y, dtype=float), np.asarray(weight)
+    spread = np.maximum(np.sqrt((x**2).mean(axis=0)), 1e-9)
+    design, w = x / spread, np.zeros(2)
+    # The saved bytes are centred for the pull's sake: what it weakens is their deviation, not the mean.
+    mean = design[:, 0].mean() / max(design[:, 1].mean(), 1e-9)
+    design[:, 0] -= mean * design[:, 1]
     pull = np.array([0.02, 1e-6]) * len(x) ** 0.5
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve(
-            (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag(pull), design.T @ (weight * (y - p)) - pull * w
-        )
+    for _ in range(80):
+        p = 1 / (1 + np.exp(-np.clip(prior + design @ w, -30, 30)))
+        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + np.diag(pull), design.T @ (weight * (y - p)) - pull * w)
         w += np.clip(step, -4, 4)
-    return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
+    return float(w[0] / spread[0]), float((w[1] - w[0] * mean) / spread[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
@@ -134,8 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
 
     Every second sampled document of a class goes to its dictionary, the rest set the curve. There a
     class weighs as much as it has labelled documents in all, however few of them are sampled. Where
-    a class has no labelled document, the model gives one half to everything. Repeated labels of a
-    document count once, the lowest; labels without a document, and null labels, are ignored.
+    a class has no labelled document with text, as in empty tables, the model gives one half to everything. Repeated
+    labels of a document count once, the lowest; labels without a document, and null labels, are ignored. Of
+    rows that repeat an id, the smallest text counts. A text that exceeds the bound on bytes is left out by itself.
     """
     sample, counts = _labelled_sample(docs, labels)
     by_class = {q: [t for k, t in sample if k == q and t] for q in (0, 1)}
@@ -148,31 +153,44 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
     if raw_bad != raw_good:  # two books of one kind, so that neither has an edge by its form
         join = lambda texts: "".join(texts).encode("utf-8", "surrogatepass")[:size]
         bad, good, raw_bad = join(books[0]), join(books[1]), True
-    feature = CompressionModel(good, bad, raw_bad, 0.0, 0.0, 0.0).scorer()
-    scale = lambda t: (len(t.encode("utf-8", "surrogatepass")) + PRIOR_BYTES) / max(1, len(t.encode("utf-8", "surrogatepass")))
-    plain = {q: [feature(t) * scale(t) for t in texts] for q, texts in curve.items()}
-    middle = sum(plain[1]) / len(plain[1])
-    feature = CompressionModel(good, bad, raw_bad, 0.0, 0.0, middle).scorer()
-    x = {q: [feature(t) for t in texts] for q, texts in curve.items()}
+    features = CompressionModel(good, bad, raw_bad, 0.0, 0.0, 0.0).scorer()
+    x = {q: [features(t) for t in texts] for q, texts in curve.items()}
     share = {q: counts[q] / sum(counts.values()) * (len(x[0]) + len(x[1])) / len(x[q]) for q in (0, 1)}
-    slope, intercept = _logistic(x[0] + x[1], [0] * len(x[0]) + [1] * len(x[1]), [share[0]] * len(x[0]) + [share[1]] * len(x[1]))
-    return CompressionModel(good, bad, raw_bad, slope, intercept, middle)
+    prior = math.log(counts[1] / counts[0])
+    slope, lean = _logistic(x[0] + x[1], [0] * len(x[0]) + [1] * len(x[1]), [share[0]] * len(x[0]) + [share[1]] * len(x[1]), prior)
+    return CompressionModel(good, bad, raw_bad, prior, slope, lean)
+
+
+def _scored(batch, model: CompressionModel):
+    """Parts of an Arrow batch, and the scores of their rows."""
+    features = model.scorer()
+    for part, (texts,) in slices(batch, ["text"]):
+        yield part, [model.probability(*features(t)) for t in texts]
 
 
 def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
-    """``docs`` with ``quality_score`` (0 to 1, higher is better), of the whole text.
+    """``docs`` with ``quality_score`` (0 to 1, higher is better), of the whole text, however long.
 
-    Null and empty texts get the score of the prior. Rows are scored one by one, so repeated rows
-    get the same score; columns named quality_score are replaced, all others pass through.
+    Null and empty texts get the share of good labels. Rows are scored one by one, so repeated rows
+    get the same score; an empty table stays empty. A column named quality_score is replaced, all others pass through.
     """
     kept = docs.drop("quality_score")
     schema = kept.select("*", F.lit(0.0).alias("quality_score")).schema
 
     def run(batches):
-        feature = model.scorer()
         for batch in batches:
-            for part, (texts,) in slices(batch, ["text"]):
-                scores = pa.array([model.probability(feature(t)) for t in texts], pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, "quality_score"])
+            for part, scores in _scored(batch, model):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "quality_score"])
 
     return kept.mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, model: CompressionModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` or more, as they are, whatever their columns are called."""
+
+    def run(batches):
+        for batch in batches:
+            for part, scores in _scored(batch, model):
+                yield part.filter(pa.array([s >= least for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
