@@ -4,13 +4,14 @@ Vectors are quantised to signed 8-bit codes with a scale each. A task multiplies
 codes by a block of candidate codes, tile by tile, which gives every inner product up to an error
 bound that the quantisation residuals set. Pairs whose upper bound falls below the k-th best lower
 bound are out; the others are recomputed from the original vectors in double precision and pushed
-on a heap per query. The heaps of a query's blocks are merged at the end.
+on a heap per query. The heaps of a query's blocks are merged at the end, in rounds of bounded size.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,10 @@ from likeness.llm.common import materialize
 QUERY_NUMBERS, CANDIDATE_NUMBERS = 1 << 20, 1 << 18
 #: Query rows of one tile.
 TILE = 256
+#: Heaps of one query that a round merges into one.
+FAN_IN = 64
+#: A null vec_id, as a number that comes after all others.
+_NO_ID = 2**63 - 1
 
 
 def usable(vector: Column) -> Column:
@@ -70,19 +75,19 @@ def exact_products(a, b):
     return total
 
 
-def block_search(query_ids, queries, ids, vectors, k: int) -> list[list[tuple[float, int]]]:
-    """Per query the k best (score, vec_id) of a block, best first, ties to the smaller id; never the query's own id."""
+def block_search(query_rows, queries, rows, ids, vectors, k: int) -> list[list[tuple[float, int]]]:
+    """Per query the k best (score, vec_id) of a block, best first, ties to the smaller id; never the query's own row."""
     import numpy as np
 
     cc, cs, _, cr, cn = quantise(vectors.astype(np.float64))
-    heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]
-    for at in range(0, len(query_ids), TILE):
+    heaps: list[list[tuple[float, int]]] = [[] for _ in query_rows]
+    for at in range(0, len(query_rows), TILE):
         q = queries[at : at + TILE]
         qc, qs, qh, qr, _ = quantise(q.astype(np.float64))
         about = code_products(qc, cc) * qs[:, None] * cs[None, :]
         # q.c = q'.c' + q'.(c - c') + (q - q').c, and a little for rounding.
         error = (qh[:, None] * cr[None, :] + qr[:, None] * cn[None, :]) * (1 + 1e-9) + 1e-12 * (qh + qr)[:, None] * cn[None, :]
-        own = query_ids[at : at + TILE, None] == ids[None, :]
+        own = query_rows[at : at + TILE, None] == rows[None, :]
         about[own] = -np.inf
         lower = about - error
         if lower.shape[1] > k:
@@ -110,53 +115,56 @@ def _blocks(n: int, numbers: int) -> Column:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows of largest inner product with each query row.
 
-    Candidates are all rows with usable vectors of the query's dimension but those with the query's
-    vec_id. Rows that repeat a vec_id count as one, with the smallest vector; a null vec_id takes no
-    part. Fewer than k candidates: all of them. Empty tables give empty results; other columns are
+    Candidates are all rows with usable vectors of the query's dimension but the query's own row. Rows that repeat
+    a vec_id are rows of their own, as queries and as candidates, so such a vec_id has several lists, or stands in a list more
+    than once. A row without a vec_id is a candidate, told as null, behind all others of its score, and asks if
+    ``is_query`` says so. Fewer than k candidates: all of them. Empty tables give empty results; other columns are
     ignored. Ties go to the smaller vec_id.
     """
-    valid = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    once = valid.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    once = materialize(once.withColumns({"dim": F.size("embedding"), "_asks": is_query}), "vectors")
-    n, asking = once.count(), once.where("_asks").count()
+    valid = vectors.where(usable(F.col("embedding"))).select(F.coalesce("vec_id", F.lit(_NO_ID)).cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("_asks"))
+    # Numbers of rows, which hold once the table is written.
+    rows = materialize(valid.withColumns({"dim": F.size("embedding"), "row": F.monotonically_increasing_id()}), "vectors")
+    n, asking, most = rows.agg(F.count("*"), F.count_if("_asks"), F.coalesce(F.max("dim"), F.lit(0))).first()
     q_blocks, c_blocks = _blocks(asking, QUERY_NUMBERS), _blocks(n, CANDIDATE_NUMBERS)
-    own = lambda blocks: F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
+    own = lambda blocks: F.pmod(F.xxhash64("row"), blocks).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
     # A query row goes to each candidate block once, and the other way round; blocks are of bounded size.
-    left = once.where("_asks").select("vec_id", "embedding", "dim", own(q_blocks).alias("qb"), every(c_blocks).alias("cb"))
-    right = once.select("vec_id", "embedding", "dim", every(q_blocks).alias("qb"), own(c_blocks).alias("cb"))
-    found = "query_id long, near array<struct<score:double,vec_id:long>>"
+    left = rows.where("_asks").select("row", "vec_id", "embedding", "dim", own(q_blocks).alias("qb"), every(c_blocks).alias("cb"))
+    # Both sides come from one table, so every column gets a name, and an identity, of its side.
+    named = [F.col(c).alias(f"c_{c}") for c in ("row", "vec_id", "embedding", "dim")]
+    right = rows.select(*named, every(q_blocks).alias("c_qb"), own(c_blocks).alias("c_cb"))
+    found = "row long, query_id long, cb int, near array<struct<score:double,vec_id:long>>"
     near = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
 
     def search(key, q: pa.Table, c: pa.Table) -> pa.Table:
         if not q.num_rows or not c.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "near": pa.array([], near)})
+            return pa.table({"row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "cb": pa.array([], pa.int32()), "near": pa.array([], near)})
         dim = key[0].as_py()
-        ids = q["vec_id"].to_numpy()
-        best = block_search(ids, _matrix(q["embedding"], dim), c["vec_id"].to_numpy(), _matrix(c["embedding"], dim), k)
-        return pa.table(
-            {"query_id": pa.array(ids), "near": pa.array([[{"score": s, "vec_id": v} for s, v in b] for b in best], near)}
-        )
+        asked = q["row"].to_numpy()
+        best = block_search(asked, _matrix(q["embedding"], dim), c["c_row"].to_numpy(), c["c_vec_id"].to_numpy(), _matrix(c["c_embedding"], dim), k)
+        lists = pa.array([[{"score": s, "vec_id": v} for s, v in b] for b in best], near)
+        return pa.table({"row": pa.array(asked), "query_id": q["vec_id"], "cb": pa.array([key[2].as_py()] * len(asked), pa.int32()), "near": lists})
 
-    keys = ("dim", "qb", "cb")
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, found)
-    lists = partial.groupBy("query_id").agg(F.collect_list("near").alias("lists"))
+    met = left.groupBy("dim", "qb", "cb").cogroup(right.groupBy("c_dim", "c_qb", "c_cb"))
+    lists = met.applyInArrow(search, found)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column(0), []
-            for parts in batch.column(1):
+            out = []
+            for parts in batch.column(3):
                 heaps = [[(-x["score"], x["vec_id"]) for x in part] for part in parts.as_py()]
-                best = []
-                for s, v in heapq.merge(*heaps):
-                    best.append({"score": -s, "vec_id": v})
-                    if len(best) == k:
-                        break
-                out.append(best)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out, near)], names=["query_id", "near"])
-
-    best = lists.mapInArrow(merge, found)
-    ranked = best.select("query_id", F.posexplode("near").alias("_at", "_hit"))
+                out.append([{"score": -s, "vec_id": v} for s, v in islice(heapq.merge(*heaps), k)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, near)], names=["row", "query_id", "cb", "near"])
+
+    # Each round merges up to FAN_IN heaps of a query; the next one merges what is left.
+    left_over = max(1, -(-n * most // CANDIDATE_NUMBERS))
+    while left_over > 1:
+        left_over = -(-left_over // FAN_IN)
+        together = lists.groupBy("row", "query_id", F.floor(F.col("cb") / FAN_IN).cast("int").alias("cb")).agg(F.collect_list("near").alias("near"))
+        lists = together.mapInArrow(merge, found)
+    ranked = lists.select("query_id", F.posexplode("near").alias("_at", "_hit"))
+    no_id = F.lit(_NO_ID)
     return ranked.select(
-        "query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("_hit.vec_id").alias("vec_id"), F.col("_hit.score").alias("score")
+        F.nullif("query_id", no_id).alias("query_id"), (F.col("_at") + 1).cast("int").alias("rank"),
+        F.nullif(F.col("_hit.vec_id"), no_id).alias("vec_id"), F.col("_hit.score").alias("score"),
     )

@@ -8,10 +8,10 @@ _USABLE = """embedding IS NOT NULL AND len(embedding) > 0
       AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
 
 OP4 = f"""
-WITH v AS (SELECT vec_id, min(embedding)::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_USABLE} GROUP BY vec_id),
-p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+WITH v AS (SELECT row_number() OVER () AS id, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {_USABLE}),
+p AS (SELECT q.id AS asked, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.id <> c.id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score
 FROM p QUALIFY rank <= 20
 """
 

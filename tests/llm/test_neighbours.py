@@ -7,22 +7,19 @@ from likeness.llm import neighbours
 
 
 def brute(rows, k):
-    once = {}
-    for i, v in rows:
-        if i is None or v is None or not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
-            continue
-        once[i] = min(once.get(i, v), v)
+    part = [(i, v) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = []
-    for q, a in once.items():
-        if q % 20 == 0:
-            best = sorted((-reduce(lambda t, p: t + float(p[0]) * float(p[1]), zip(a, b), 0.0), c) for c, b in once.items() if c != q and len(a) == len(b))
-            out += [(q, n, c, -s) for n, (s, c) in enumerate(best[:k], 1)]
-    return sorted(out)
+    for at, (q, a) in enumerate(part):
+        if q is not None and q % 20 == 0:
+            others = [(c, b) for n, (c, b) in enumerate(part) if n != at and len(a) == len(b)]
+            best = sorted((-reduce(lambda t, p: t + float(p[0]) * float(p[1]), zip(a, b), 0.0), c is None, c) for c, b in others)
+            out += [(q, n, c, -s) for n, (s, _, c) in enumerate(best[:k], 1)]
+    return sorted(out, key=str)
 
 
 def run(spark, rows, k=5):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    return sorted(tuple(r) for r in neighbours.nearest(df, df.vec_id % 20 == 0, k).collect())
+    return sorted((tuple(r) for r in neighbours.nearest(df, df.vec_id % 20 == 0, k).collect()), key=str)
 
 
 def test_matches_brute_force_with_odd_vectors(spark):
@@ -34,11 +31,17 @@ def test_matches_brute_force_with_odd_vectors(spark):
     assert run(spark, rows) == brute(rows, 5)
 
 
+def test_rows_that_share_an_id_are_all_candidates(spark):
+    found = run(spark, [(1, [0.5, 0.0]), (1, [5.0, 0.0]), (20, [0.5, 0.0]), (20, [1.0, 0.0]), (None, [4.0, 0.0])], 3)
+    assert found == sorted([(20, 1, 1, 2.5), (20, 2, None, 2.0), (20, 3, 20, 0.5), (20, 1, 1, 5.0), (20, 2, None, 4.0), (20, 3, 1, 0.5)], key=str)
+
+
 def test_many_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, (rng.integers(-2, 3, size=4) * 1.0).tolist()) for i in range(400)]
     monkeypatch.setattr(neighbours, "QUERY_NUMBERS", 40)
     monkeypatch.setattr(neighbours, "CANDIDATE_NUMBERS", 300)
+    monkeypatch.setattr(neighbours, "FAN_IN", 2)
     assert run(spark, rows) == brute(rows, 5)
 
 
