@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from likeness.llm.common import materialize, slices
-from likeness.llm.components import connected_components
+from likeness.llm.components import connected_components, hot_join
 
 SEED = 42
 #: A posting list longer than this is cut into chunks, and each pair of chunks is compared in a task of its own.
@@ -343,16 +343,20 @@ def links(nodes: DataFrame, scheme: Scheme, apart: bool = False) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long")
 
 
+def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, component_id, n`` of each of ``nodes`` (node, doc_id, n): the smallest doc_id that the edges reach."""
+    linked = materialize(nodes.join(connected_components(edges), "node").select("node", "doc_id", "root"), "simhash-linked")
+    groups = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    found = hot_join(linked, groups, "root", linked.count()).select("node", "component_id")
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"), "n")
+
+
 def _grouped(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    prints = materialize(fingerprints(docs, scheme), "simhash")
-    # A 64-bit fingerprint is its own number; a longer one goes by a hash.
-    node = F.conv(F.hex("fp"), 16, -10).cast("long") if scheme.words64 == 1 else F.xxhash64("fp")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("node", node), "simhash-nodes")
-    roots = connected_components(links(nodes, scheme)).withColumnRenamed("node", "_node")
-    named = nodes.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_print = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    # A 64-bit fingerprint is its own number.
+    prints = materialize(fingerprints(docs, scheme).withColumn("node", F.conv(F.hex("fp"), 16, -10).cast("long")), "simhash")
+    nodes = materialize(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "simhash-nodes")
+    by_node = materialize(_components(nodes, links(nodes, scheme)), "simhash-components")
+    return hot_join(prints, by_node, "node", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -427,7 +431,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     scheme = similarity_scheme(similarity, shingle, distinct=True)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("_text")).withColumn("_row", F.xxhash64("doc_id", "_text"))
     known = materialize(_described(rows, scheme), "similar")
-    nodes = materialize(known.groupBy("node", "fp").agg(F.min("doc_id").alias("doc_id"), F.min("_row").alias("_row")), "similar-nodes")
+    nodes = materialize(known.groupBy("node", "fp").agg(F.min("doc_id").alias("doc_id"), F.min("_row").alias("_row"), F.count("*").alias("n")), "similar-nodes")
     ordered = lambda edges: edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     proposed = materialize(ordered(links(nodes, scheme)), "similar-pairs")
     met = proposed.select(F.col("a").alias("node")).unionByName(proposed.select(F.col("b").alias("node"))).distinct()
@@ -437,10 +441,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     rooted = lambda df, roots: df.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
     rest = ordered(links(rooted(inside, connected_components(linked)), scheme, apart=True)).join(proposed, ["a", "b"], "left_anti")
     linked = linked.unionByName(materialize(_agreed(rest, sets, similarity), "similar-rest"))
-    named = rooted(nodes, connected_components(linked))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.select("node", "root").join(least, "root").select("node", "component_id")
-    return known.join(by_node, "node").select("doc_id", "fp", "component_id")
+    by_node = materialize(_components(nodes, linked), "similar-components")
+    return hot_join(known, by_node, "node", known.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

@@ -4,7 +4,9 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from likeness.llm import components as stars
 from likeness.llm import simhash
 from likeness.llm.components import connected_components
 
@@ -143,3 +145,12 @@ def test_null_ids_and_empty_table(spark):
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, 0), (0, 3), (3, 3), (3, 3)]
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else None, i) for i in range(200)] + [(50, i) for i in range(400)], "key long, i long")
+    groups = rows.groupBy("key").agg(F.min("i").alias("m"), F.count("*").alias("n"))
+    plain = sorted(map(tuple, rows.join(groups.drop("n"), "key").collect()))
+    for hot in (5, 25, 10_000):
+        monkeypatch.setattr(stars, "HOT_ROWS", hot)
+        assert sorted(map(tuple, stars.hot_join(rows, groups, "key", 600).collect())) == plain
