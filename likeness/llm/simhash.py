@@ -30,6 +30,8 @@ SEED = 42
 CHUNK = 2048
 #: Lists up to this length are compared all at once, longer ones one by one.
 SHORT = 48
+#: Proposals that join more confirmed groups than this make the sets of these groups worth a look for what no other set has.
+CROWD = 16
 
 
 def covering_triples() -> list[tuple[int, ...]]:
@@ -194,6 +196,14 @@ def _near(x, y, scheme: Scheme):
     return kept[np.bitwise_count(xor[kept]).sum(axis=1, dtype=np.int64) <= scheme.max_bits]
 
 
+def _may_agree(sizes, owns, x, y, similarity: float):
+    """Which pairs of sets may have that Jaccard similarity, by their sizes and by how many members no other set has."""
+    import numpy as np
+
+    common = np.minimum(sizes[x] - owns[x], sizes[y] - owns[y])
+    return common >= similarity * (sizes[x] + sizes[y] - common) - 1e-9
+
+
 def _forest(pairs):
     """Those of the pairs, in order, that join two trees."""
     parent: dict[int, int] = {}
@@ -213,10 +223,10 @@ def _forest(pairs):
     return kept
 
 
-def _short_lists(prints, offsets, scheme: Scheme, roots=None):
+def _short_lists(prints, offsets, scheme: Scheme, may=None):
     """Links within many short lists at once: members at distance 1, 2, ... of all lists.
 
-    A spanning forest, or with ``roots`` all links between members of different roots.
+    A spanning forest, or with ``may`` all links between members of which it says that they may have one.
     """
     import numpy as np
 
@@ -227,18 +237,18 @@ def _short_lists(prints, offsets, scheme: Scheme, roots=None):
         at = at[at + gap < ends[at - offsets[0]]]
         for lo in range(0, len(at), 1 << 16):
             i = at[lo : lo + (1 << 16)]
-            i = i if roots is None else i[roots[i] != roots[i + gap]]
+            i = i if may is None else i[may(i, i + gap)]
             near = i[_near(prints[i], prints[i + gap], scheme)]
             pairs += zip(near.tolist(), (near + gap).tolist(), strict=True)
-    return _forest(pairs) if roots is None else pairs
+    return _forest(pairs) if may is None else pairs
 
 
-def _apart(prints, roots, left, right, scheme: Scheme):
-    """All links between two rows of members, or within one, whose members have different roots."""
+def _apart(prints, left, right, scheme: Scheme, may):
+    """All links between two rows of members, or within one, that may be."""
     edges = []
     for n, i in enumerate(left.tolist()):
         other = left[n + 1 :] if right is None else right
-        other = other[roots[other] != roots[i]]
+        other = other[may(i, other)]
         edges += [(i, j) for j in other[_near(prints[other], prints[i : i + 1], scheme)].tolist()]
     return edges
 
@@ -268,15 +278,16 @@ def _long_list(left, right, scheme: Scheme):
     return edges
 
 
-def links(nodes: DataFrame, scheme: Scheme, apart: bool = False) -> DataFrame:
+def links(nodes: DataFrame, scheme: Scheme, apart: float = 0.0) -> DataFrame:
     """Edges ``a, b`` between nodes (node long, fp binary) that join whatever the links of the scheme join.
 
     Each posting list yields a spanning forest of its links, so the edges grow with the lists and
-    not with their squares, and components are those of all links. With ``apart``, the nodes have a
-    ``root`` (long), and each list yields all its links between different roots instead.
+    not with their squares, and components are those of all links. With ``apart``, a similarity, the nodes have a
+    ``root`` (long), ``size`` and ``own`` (int, of their sets), and each list yields all its links between different
+    roots instead whose sets may be that similar.
     """
-    root = F.col("root") if apart else F.lit(0).cast("long")
-    nodes = nodes.select("node", "fp", root.alias("root"))
+    more = ["root", "size", "own"] if apart else []
+    nodes = nodes.select("node", "fp", *more)
 
     def post(batches):
         import numpy as np
@@ -292,11 +303,11 @@ def links(nodes: DataFrame, scheme: Scheme, apart: bool = False) -> DataFrame:
                         keys[:, n] = (keys[:, n] << 8) | octets[:, p]
                 own = pa.array(np.repeat(np.arange(part.num_rows), len(scheme.keys)))
                 carried = pa.array([fp[: 8 * scheme.carried64] for fp in part.column(1).to_pylist()], pa.binary())
-                columns = [part.column(0), carried, *([part.column(2)] if apart else [])]
+                columns = [part.column(0), carried, *part.columns[2:]]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[c.take(own) for c in columns]], names=names)
 
-    names = ["key", "node", "fp", *(["root"] if apart else [])]
-    postings = nodes.mapInArrow(post, "key long, node long, fp binary" + ", root long" * apart)
+    names = ["key", "node", "fp", *more]
+    postings = nodes.mapInArrow(post, "key long, node long, fp binary" + (", root long, size int, own int" if apart else ""))
     narrow = nodes.select("fp", F.explode(F.array(*[F.concat(F.lit(bytes([n])), *[F.substring("fp", p + 1, 1) for p in places]) for n, places in enumerate(scheme.keys)])).alias("k"))
     number = F.conv(F.hex("k"), 16, 10).cast("long").alias("key")
     lengths = narrow.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(number, "n")
@@ -317,7 +328,8 @@ def links(nodes: DataFrame, scheme: Scheme, apart: bool = False) -> DataFrame:
             x, y, members = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
             flat = members.flatten()
             own, node, prints = (flat.field(0).to_numpy(), flat.field(1).to_numpy(), _numbers(flat.field(2), scheme.carried64))
-            roots = flat.field(3).to_numpy() if apart else None
+            roots, sizes_of, owns = (flat.field(n).to_numpy() for n in (3, 4, 5)) if apart else (None, None, None)
+            may = (lambda a, b: (roots[a] != roots[b]) & _may_agree(sizes_of, owns, a, b, apart)) if apart else None  # noqa: B023
             offsets = members.offsets.to_numpy().astype(np.int64) - members.offsets[0].as_py()
             sizes = np.diff(offsets)
             edges = []
@@ -325,12 +337,13 @@ def links(nodes: DataFrame, scheme: Scheme, apart: bool = False) -> DataFrame:
             if short.any():
                 kept = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in np.nonzero(short)[0]])
                 starts = np.append(0, np.cumsum(sizes[short]))
-                edges += [(kept[i], kept[j]) for i, j in _short_lists(prints[kept], starts, scheme, roots[kept] if apart else None)]
+                among = (lambda a, b: may(kept[a], kept[b])) if apart else None  # noqa: B023
+                edges += [(kept[i], kept[j]) for i, j in _short_lists(prints[kept], starts, scheme, among)]
             for i in np.nonzero(~short)[0].tolist():
                 at = np.arange(offsets[i], offsets[i + 1])
                 if apart:
                     left, right = at[own[at] == x[i]], None if x[i] == y[i] else at[own[at] == y[i]]
-                    edges += _apart(prints, roots, left, right, scheme)
+                    edges += _apart(prints, left, right, scheme, may)
                 elif x[i] == y[i]:
                     edges += [(at[a], at[b]) for a, b in _long_list(prints[at], None, scheme)]
                 else:
@@ -422,11 +435,46 @@ def _agreed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _owns(sets: DataFrame) -> DataFrame:
+    """``node, own``: how many of its shingles no other of the sets has; nodes that share all are left out."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for part, (shingles,) in slices(batch, ["shingles"]):
+                node = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in shingles])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(shingles), np.int64)), pa.array(node)], names=["shingle", "node"])
+
+    each = sets.select("node", "shingles").mapInArrow(run, "shingle long, node long")
+    single = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return single.groupBy("node").agg(F.count("*").cast("int").alias("own"))
+
+
+def _unsettled(inside: DataFrame, sets: DataFrame, proposed: DataFrame, linked: DataFrame) -> DataFrame:
+    """``node, fp, root, size, own`` of the nodes whose proposals join several confirmed groups.
+
+    All else that fingerprints could propose lies between two groups that proposals join. Where these are many, ``own``
+    counts the shingles that no other set of such a place has; elsewhere it is zero.
+    """
+    named = lambda edges, name: connected_components(edges).select("node", F.col("root").alias(name))
+    rows = inside.join(named(proposed, "place"), "node").join(named(linked, "_root"), "node", "left")
+    rows = materialize(rows.select("node", "fp", "place", F.coalesce("_root", "node").alias("root")), "similar-places")
+    places = rows.select("place", "root").distinct().groupBy("place").agg(F.count("*").alias("groups"))
+    counts = rows.groupBy("place").agg(F.count("*").alias("n")).join(places, "place").where("groups > 1")
+    rows = hot_join(rows, counts, "place", rows.count())
+    rows = materialize(rows.join(sets.select("node", (F.octet_length("shingles") / 8).cast("int").alias("size")), "node"), "similar-open")
+    crowded = rows.where(F.col("groups") > CROWD).select("node")
+    owns = _owns(sets.join(crowded, "node", "left_semi"))
+    return rows.join(owns, "node", "left").select("node", "fp", "root", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """As ``near_duplicates``, linking texts whose shingle sets have that Jaccard similarity or more.
 
-    Fingerprints propose pairs, the sets decide. First each posting list proposes a spanning forest,
-    then what lies between the components that the confirmed part of it leaves.
+    Fingerprints propose pairs, the sets decide. First each posting list proposes a spanning forest. Where the confirmed
+    part of it leaves groups apart that proposals had joined, all pairs between these groups are proposed whose sets may be
+    that similar by their sizes, counted without what no other set there has.
     """
     scheme = similarity_scheme(similarity, shingle, distinct=True)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("_text")).withColumn("_row", F.xxhash64("doc_id", "_text"))
@@ -438,9 +486,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     inside = materialize(nodes.join(met, "node").select("node", "fp", "_row"), "similar-met")
     sets = materialize(_sets(rows, inside.select("node", "_row"), scheme), "similar-sets")
     linked = materialize(_agreed(proposed, sets, similarity), "similar-links")
-    rooted = lambda df, roots: df.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
-    rest = ordered(links(rooted(inside, connected_components(linked)), scheme, apart=True)).join(proposed, ["a", "b"], "left_anti")
-    linked = linked.unionByName(materialize(_agreed(rest, sets, similarity), "similar-rest"))
+    apart = materialize(_unsettled(inside, sets, proposed, linked), "similar-apart")
+    rest = materialize(ordered(links(apart, scheme, similarity)).join(proposed, ["a", "b"], "left_anti"), "similar-rest")
+    linked = linked.unionByName(materialize(_agreed(rest, sets, similarity), "similar-more"))
     by_node = materialize(_components(nodes, linked), "similar-components")
     return hot_join(known, by_node, "node", known.count()).select("doc_id", "fp", "component_id")
 
