@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from likeness.llm.common import materialize, slices
@@ -30,8 +30,10 @@ SEED = 42
 CHUNK = 2048
 #: Lists up to this length are compared all at once, longer ones one by one.
 SHORT = 48
-#: Proposals that join more confirmed groups than this make the sets of these groups worth a look for what no other set has.
+#: Proposals that join more confirmed groups than this make it worth a look which shingles their sets share.
 CROWD = 16
+#: The most frequent shingles of such a place, of which each set's are marked.
+MARKED = 512
 
 
 def covering_triples() -> list[tuple[int, ...]]:
@@ -196,11 +198,15 @@ def _near(x, y, scheme: Scheme):
     return kept[np.bitwise_count(xor[kept]).sum(axis=1, dtype=np.int64) <= scheme.max_bits]
 
 
-def _may_agree(sizes, owns, x, y, similarity: float):
-    """Which pairs of sets may have that Jaccard similarity, by their sizes and by how many members no other set has."""
+def _may_agree(sizes, marks, others, x, y, similarity: float):
+    """Which pairs of sets may have that Jaccard similarity.
+
+    Two sets share the marked members that both have, and of the others, those aside that no other set has, at
+    most as many as the one with fewer.
+    """
     import numpy as np
 
-    common = np.minimum(sizes[x] - owns[x], sizes[y] - owns[y])
+    common = np.bitwise_count(marks[x] & marks[y]).sum(axis=1, dtype=np.int64) + np.minimum(others[x], others[y])
     return common >= similarity * (sizes[x] + sizes[y] - common) - 1e-9
 
 
@@ -245,10 +251,12 @@ def _short_lists(prints, offsets, scheme: Scheme, may=None):
 
 def _apart(prints, left, right, scheme: Scheme, may):
     """All links between two rows of members, or within one, that may be."""
+    import numpy as np
+
     edges = []
     for n, i in enumerate(left.tolist()):
         other = left[n + 1 :] if right is None else right
-        other = other[may(i, other)]
+        other = other[may(np.full(len(other), i), other)]
         edges += [(i, j) for j in other[_near(prints[other], prints[i : i + 1], scheme)].tolist()]
     return edges
 
@@ -283,10 +291,10 @@ def links(nodes: DataFrame, scheme: Scheme, apart: float = 0.0) -> DataFrame:
 
     Each posting list yields a spanning forest of its links, so the edges grow with the lists and
     not with their squares, and components are those of all links. With ``apart``, a similarity, the nodes have a
-    ``root`` (long), ``size`` and ``own`` (int, of their sets), and each list yields all its links between different
-    roots instead whose sets may be that similar.
+    ``root`` (long), and of their sets ``size`` and ``others`` (int) and ``marks`` (binary), and each list yields all its links
+    between different roots instead whose sets may be that similar.
     """
-    more = ["root", "size", "own"] if apart else []
+    more = ["root", "size", "others", "marks"] if apart else []
     nodes = nodes.select("node", "fp", *more)
 
     def post(batches):
@@ -307,7 +315,7 @@ def links(nodes: DataFrame, scheme: Scheme, apart: float = 0.0) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[c.take(own) for c in columns]], names=names)
 
     names = ["key", "node", "fp", *more]
-    postings = nodes.mapInArrow(post, "key long, node long, fp binary" + (", root long, size int, own int" if apart else ""))
+    postings = nodes.mapInArrow(post, "key long, node long, fp binary" + (", root long, size int, others int, marks binary" if apart else ""))
     narrow = nodes.select("fp", F.explode(F.array(*[F.concat(F.lit(bytes([n])), *[F.substring("fp", p + 1, 1) for p in places]) for n, places in enumerate(scheme.keys)])).alias("k"))
     number = F.conv(F.hex("k"), 16, 10).cast("long").alias("key")
     lengths = narrow.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(number, "n")
@@ -328,8 +336,9 @@ def links(nodes: DataFrame, scheme: Scheme, apart: float = 0.0) -> DataFrame:
             x, y, members = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
             flat = members.flatten()
             own, node, prints = (flat.field(0).to_numpy(), flat.field(1).to_numpy(), _numbers(flat.field(2), scheme.carried64))
-            roots, sizes_of, owns = (flat.field(n).to_numpy() for n in (3, 4, 5)) if apart else (None, None, None)
-            may = (lambda a, b: (roots[a] != roots[b]) & _may_agree(sizes_of, owns, a, b, apart)) if apart else None  # noqa: B023
+            roots, sizes_of, others = (flat.field(n).to_numpy() for n in (3, 4, 5)) if apart else (None, None, None)
+            marks = _numbers(flat.field(6), MARKED // 64) if apart else None
+            may = (lambda a, b: (roots[a] != roots[b]) & _may_agree(sizes_of, marks, others, a, b, apart)) if apart else None  # noqa: B023
             offsets = members.offsets.to_numpy().astype(np.int64) - members.offsets[0].as_py()
             sizes = np.diff(offsets)
             edges = []
@@ -435,27 +444,51 @@ def _agreed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _owns(sets: DataFrame) -> DataFrame:
-    """``node, own``: how many of its shingles no other of the sets has; nodes that share all are left out."""
+def _shares(sets: DataFrame) -> DataFrame:
+    """``node, others, marks`` of sets (node, place, shingles).
 
-    def run(batches):
+    ``marks`` has a bit for each of the MARKED most frequent shingles of the place, set if the set has it; ``others`` counts
+    the set's further shingles that another set of the place has as well.
+    """
+
+    def each(batches):
         import numpy as np
 
         for batch in batches:
             for part, (shingles,) in slices(batch, ["shingles"]):
-                node = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in shingles])
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(shingles), np.int64)), pa.array(node)], names=["shingle", "node"])
+                sizes = [len(x) // 8 for x in shingles]
+                node, place = (np.repeat(part.column(n).to_numpy(), sizes) for n in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(place), pa.array(np.frombuffer(b"".join(shingles), np.int64))], names=["node", "place", "shingle"])
+
+    rows = sets.select("node", "place", "shingles").mapInArrow(each, "node long, place long, shingle long")
+    counts = materialize(rows.groupBy("place", "shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")), "similar-shares")
+    own = counts.where("n = 1").groupBy("node").agg(F.count("*").cast("int").alias("own"))
+    frequent = Window.partitionBy("place").orderBy(F.col("n").desc(), "shingle")
+    top = counts.withColumn("nth", F.row_number().over(frequent)).where((F.col("nth") <= MARKED) & (F.col("n") > 1))
+    top = top.groupBy("place").agg(F.array_sort(F.collect_list("shingle")).alias("top"))
+    members = sets.groupBy("place").agg(F.count("*").alias("n"))
+    known = hot_join(sets.join(own, "node", "left"), top.join(members, "place"), "place", sets.count())
+
+    def mark(batches):
+        import numpy as np
+
+        for batch in batches:
+            for part, (shingles, tops, owns) in slices(batch, ["shingles", "top", "own"]):
+                marks, others = [], []
+                for own_set, frequent, n in zip(shingles, tops, owns, strict=True):
+                    held = np.isin(np.array(frequent, np.int64), np.frombuffer(own_set, np.int64))
+                    marks.append(np.packbits(np.append(held, np.zeros(MARKED - len(held), bool))).tobytes())
+                    others.append(len(own_set) // 8 - int(held.sum()) - (n or 0))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(others, pa.int32()), pa.array(marks, pa.binary())], names=["node", "others", "marks"])
 
-    each = sets.select("node", "shingles").mapInArrow(run, "shingle long, node long")
-    single = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    return single.groupBy("node").agg(F.count("*").cast("int").alias("own"))
+    return known.select("node", "shingles", "top", "own").mapInArrow(mark, "node long, others int, marks binary")
 
 
 def _unsettled(inside: DataFrame, sets: DataFrame, proposed: DataFrame, linked: DataFrame) -> DataFrame:
-    """``node, fp, root, size, own`` of the nodes whose proposals join several confirmed groups.
+    """``node, fp, root, size, others, marks`` of the nodes whose proposals join several confirmed groups.
 
-    All else that fingerprints could propose lies between two groups that proposals join. Where these are many, ``own``
-    counts the shingles that no other set of such a place has; elsewhere it is zero.
+    All else that fingerprints could propose lies between two groups that proposals join. Where these are many,
+    ``others`` and ``marks`` tell what their sets share; elsewhere all shingles count as others.
     """
     named = lambda edges, name: connected_components(edges).select("node", F.col("root").alias(name))
     rows = inside.join(named(proposed, "place"), "node").join(named(linked, "_root"), "node", "left")
@@ -464,9 +497,10 @@ def _unsettled(inside: DataFrame, sets: DataFrame, proposed: DataFrame, linked:
     counts = rows.groupBy("place").agg(F.count("*").alias("n")).join(places, "place").where("groups > 1")
     rows = hot_join(rows, counts, "place", rows.count())
     rows = materialize(rows.join(sets.select("node", (F.octet_length("shingles") / 8).cast("int").alias("size")), "node"), "similar-open")
-    crowded = rows.where(F.col("groups") > CROWD).select("node")
-    owns = _owns(sets.join(crowded, "node", "left_semi"))
-    return rows.join(owns, "node", "left").select("node", "fp", "root", "size", F.coalesce("own", F.lit(0)).alias("own"))
+    crowded = materialize(sets.join(rows.where(F.col("groups") > CROWD).select("node", "place"), "node"), "similar-crowded")
+    shares = rows.join(_shares(crowded), "node", "left")
+    none = F.lit(bytes(MARKED // 8))
+    return shares.select("node", "fp", "root", "size", F.coalesce("others", "size").alias("others"), F.coalesce("marks", none).alias("marks"))
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -474,7 +508,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
 
     Fingerprints propose pairs, the sets decide. First each posting list proposes a spanning forest. Where the confirmed
     part of it leaves groups apart that proposals had joined, all pairs between these groups are proposed whose sets may be
-    that similar by their sizes, counted without what no other set there has.
+    that similar, by what they share of the place's most frequent shingles and by the size of the rest.
     """
     scheme = similarity_scheme(similarity, shingle, distinct=True)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("_text")).withColumn("_row", F.xxhash64("doc_id", "_text"))

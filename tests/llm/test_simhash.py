@@ -113,7 +113,9 @@ def test_a_line_that_two_texts_repeat_does_not_make_them_similar(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _ in rows]
 
 
-def test_links_are_those_of_the_exact_similarity(spark):
+@pytest.mark.parametrize("crowd", [0, 16])
+def test_links_are_those_of_the_exact_similarity(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = random.Random(6)
     texts = []
     for i in range(120):
