@@ -18,12 +18,15 @@ _unset_root: str | None = None
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a folder on this machine stands in.
+    Where that is unset, as in tests, a folder on this machine stands in for a session that runs on this machine alone;
+    on a cluster it is an error.
     """
     global _unset_root
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _unset_root is None:
         _unset_root = "file://" + tempfile.mkdtemp(prefix="likeness-")
     return _unset_root

@@ -3,12 +3,14 @@
 Texts become ids of a byte-level vocabulary. A document longer than a row is split into full rows and
 a rest, losing nothing. The pieces of a shard, longest first, go to the row with the least room that
 still fits, which a segment tree over the rooms finds in logarithmic time. A shard is a binary file:
-the id matrix, then per row the cumulative segment lengths; positions start over with each segment.
+the id matrix, then per row the cumulative segment lengths, then per row the positions at which counting starts over: with
+each segment, and with the fill. Ids take two bytes, or four where the vocabulary needs them.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
 import uuid
@@ -22,8 +24,6 @@ from likeness.llm.common import file_system, materialize, shared_path
 ROW, VOCABULARY = 2048, "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's byte-level encoding cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Fills rows; the vocabulary's end-of-text id, which no text encodes to.
-PAD = 50256
 #: Tokens packed together: bounds a worker's memory, and leaves one ill-filled row in thousands.
 SHARD_TOKENS = 8_000_000
 #: Encoded words a worker remembers before it starts over.
@@ -33,13 +33,18 @@ _CHUNK = re.compile(r"[^\S\x1c-\x1f]*(?:\S|[\x1c-\x1f])+|[^\S\x1c-\x1f]+")
 
 
 class Encoder(dict):
-    """Token ids of a text, as little-endian 16-bit bytes; remembers the words it has encoded."""
+    """Token ids of a text, as little-endian bytes of ``kind``; remembers the words it has encoded.
+
+    ``pad`` fills rows: the id after the vocabulary's last, which no text encodes to.
+    """
 
     def __init__(self, vocabulary: str = VOCABULARY):
         import tiktoken
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.pad = max(ranks.values()) + 1
+        self.kind = "<u2" if self.pad < 1 << 16 else "<u4"
         self.encoding = tiktoken.Encoding("packed", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, chunk: str) -> bytes:
@@ -48,7 +53,7 @@ class Encoder(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         ids = self.encoding.encode_ordinary(chunk)
-        value = np.array(ids, "<u2").tobytes()
+        value = np.array(ids, self.kind).tobytes()
         if len(chunk) <= 64:
             self[chunk] = value
         return value
@@ -109,35 +114,51 @@ def split(size: int, row: int) -> list[tuple[int, int]]:
     return [(at, min(row, size - at)) for at in range(0, size, row)]
 
 
-def write_shard(folder: str, docs: list[tuple[object, bytes]], row: int) -> list[dict]:
-    """Pack (doc_id, ids) into one file of ``folder`` and describe its rows."""
+def resets(ends, row: int) -> list[int]:
+    """Where positions start over in a row: at each segment, and at the fill behind the last."""
+    return [int(e) for e in ends if e < row]
+
+
+def write_shard(folder: str, docs: list[tuple[object, bytes]], row: int, kind: str, pad: int, prefix: str) -> list[dict]:
+    """Pack (doc_id, ids) into one file of ``folder`` and describe its rows.
+
+    The file is named by the prefix and what it holds, and appears when it is whole.
+    """
     import numpy as np
 
-    pieces = [(n, start, length) for n, (_, ids) in enumerate(docs) for start, length in split(len(ids) // 2, row)]
+    width = np.dtype(kind).itemsize
+    pieces = [(n, start, length) for n, (_, ids) in enumerate(docs) for start, length in split(len(ids) // width, row)]
     rows = best_fit([length for *_, length in pieces], row)
-    matrix = np.full((len(rows), row), PAD, "<u2")
+    matrix = np.full((len(rows), row), pad, kind)
     described = []
-    name = f"{uuid.uuid4().hex}.bin"
     for r, members in enumerate(rows):
         at, ends = 0, [0]
         for m in members:
             n, start, length = pieces[m]
-            matrix[r, at : at + length] = np.frombuffer(docs[n][1], "<u2", length, 2 * start)
+            matrix[r, at : at + length] = np.frombuffer(docs[n][1], kind, length, width * start)
             at += length
             ends.append(at)
         described.append(
-            {"shard": name, "row": r, "n_tokens": at, "doc_ids": [docs[pieces[m][0]][0] for m in members],
-             "doc_starts": [pieces[m][1] for m in members], "cu_seqlens": ends}
+            {"row": r, "n_tokens": at, "doc_ids": [docs[pieces[m][0]][0] for m in members],
+             "doc_starts": [pieces[m][1] for m in members], "cu_seqlens": ends, "position_resets": resets(ends, row)}
         )
-    ends = np.concatenate([np.array(d["cu_seqlens"], "<i4") for d in described]) if described else np.empty(0, "<i4")
-    counts = np.array([len(d["cu_seqlens"]) for d in described], "<i4")
-    head = json.dumps({"rows": len(rows), "row": row, "ids": "<u2", "cu_seqlens": len(ends)}).encode().ljust(128)
+    head = json.dumps({"rows": len(rows), "row": row, "ids": kind}).encode().ljust(128)
+    parts = [head, matrix.tobytes()]
+    for name in ("cu_seqlens", "position_resets"):
+        lists = [d[name] for d in described]
+        parts += [np.array([len(x) for x in lists], "<i4").tobytes(), np.array([v for x in lists for v in x], "<i4").tobytes()]
+    digest = hashlib.sha256()
+    for part in parts:
+        digest.update(part)
+    name = f"{prefix}-{digest.hexdigest()[:24]}.bin"
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
-    with fs.open_output_stream(f"{path}/{name}") as out:
-        for part in (head, matrix.tobytes(), counts.tobytes(), ends.tobytes()):
+    draft = f"{path}/.{uuid.uuid4().hex}"
+    with fs.open_output_stream(draft) as out:
+        for part in parts:
             out.write(part)
-    return described
+    fs.move(draft, f"{path}/{name}")
+    return [{"shard": name, **d} for d in described]
 
 
 def read_shard(folder: str, name: str):
@@ -150,45 +171,54 @@ def read_shard(folder: str, name: str):
     head = json.loads(data[:128])
     n, row, at = head["rows"], head["row"], 128
     matrix = np.frombuffer(data, head["ids"], n * row, at).reshape(n, row)
-    at += 2 * n * row
-    counts = np.frombuffer(data, "<i4", n, at)
-    ends = np.split(np.frombuffer(data, "<i4", head["cu_seqlens"], at + 4 * n), np.cumsum(counts)[:-1]) if n else []
-    return matrix, ends, np.stack([positions(e, row) for e in ends]) if n else np.empty((0, row), np.int32)
-
-
-def positions(ends, row: int):
-    """Positions of a row: they start over with each segment, and with the fill behind the last."""
+    at += matrix.nbytes
+    lists = []
+    for _ in range(2):
+        counts = np.frombuffer(data, "<i4", n, at)
+        lists.append(np.split(np.frombuffer(data, "<i4", int(counts.sum()), at + 4 * n), np.cumsum(counts)[:-1]) if n else [])
+        at += 4 * (n + int(counts.sum()))
+    ends, starts = lists
+    return matrix, ends, np.stack([positions(s, row) for s in starts]) if n else np.empty((0, row), np.int32)
+
+
+def positions(starts, row: int):
+    """Positions of a row, which start over at each of ``starts``."""
     import numpy as np
 
-    starts = np.zeros(row, np.int32)
-    inner = [e for e in np.asarray(ends)[1:].tolist() if e < row]
-    starts[inner] = inner
-    return np.arange(row, dtype=np.int32) - np.maximum.accumulate(starts)
+    since = np.zeros(row, np.int32)
+    since[starts] = starts
+    return np.arange(row, dtype=np.int32) - np.maximum.accumulate(since)
 
 
 def pack(docs: DataFrame, row: int = ROW, vocabulary: str = VOCABULARY) -> tuple[str, DataFrame]:
     """Write the packed shards of ``docs`` and return (their folder, a row per packed row).
 
-    ``shard, row, n_tokens, doc_ids, doc_starts, cu_seqlens``: the segments of a row in order, with the
+    ``shard, row, n_tokens, doc_ids, doc_starts, cu_seqlens, position_resets``: the segments of a row in order, with the
     document of each and its first token there. Shards are packed where the documents are, without
-    moving texts; the folder is in shared storage. An attempt that fails leaves a file that no row
-    names. Null and empty texts have no tokens and no segment. Repeated rows are packed each. Only
-    doc_id and text are read.
+    moving texts, and named by what they hold; the folder is in shared storage. An attempt that fails leaves at most a
+    file that no row names. Null and empty texts have no tokens and no segment. Repeated rows are packed each, null ids
+    too. Pieces of equal length keep the table's order. An empty table makes no shard. Only doc_id and text are read.
+    ``vocabulary`` is a path on every executor; ship the file with the job.
     """
     spark = docs.sparkSession
     folder = shared_path(spark, "packed")
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"shard string, row int, n_tokens int, doc_ids array<{kind}>, doc_starts array<int>, cu_seqlens array<int>"
+    schema = f"shard string, row int, n_tokens int, doc_ids array<{kind}>, doc_starts array<int>, cu_seqlens array<int>, position_resets array<int>"
 
     def run(batches):
+        from pyspark import TaskContext
+
         encoder, waiting, size = Encoder(vocabulary), [], 0
-        arrow = None
+        arrow, width, written = None, 2 if encoder.kind == "<u2" else 4, 0
 
         def flush():
-            table = write_shard(folder, waiting, row)
-            cols = {k: [d[k] for d in table] for k in ("shard", "row", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens")}
-            types = {"shard": pa.string(), "row": pa.int32(), "n_tokens": pa.int32(), "doc_ids": pa.list_(arrow), "doc_starts": pa.list_(pa.int32()), "cu_seqlens": pa.list_(pa.int32())}
-            return pa.RecordBatch.from_arrays([pa.array(cols[k], types[k]) for k in types], names=list(types))
+            table = write_shard(folder, waiting, row, encoder.kind, encoder.pad, f"{TaskContext.get().partitionId():05d}-{written:04d}")
+            ints = pa.list_(pa.int32())
+            types = {
+                "shard": pa.string(), "row": pa.int32(), "n_tokens": pa.int32(), "doc_ids": pa.list_(arrow), "doc_starts": ints,
+                "cu_seqlens": ints, "position_resets": ints,
+            }
+            return pa.RecordBatch.from_arrays([pa.array([d[c] for d in table], t) for c, t in types.items()], names=list(types))
 
         for batch in batches:
             arrow = batch.column(0).type
@@ -196,10 +226,10 @@ def pack(docs: DataFrame, row: int = ROW, vocabulary: str = VOCABULARY) -> tuple
                 part = batch.slice(at, 256)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     waiting.append((doc_id, encoder.encode(text)))
-                    size += len(waiting[-1][1]) // 2
+                    size += len(waiting[-1][1]) // width
                 if size >= SHARD_TOKENS:
                     yield flush()
-                    waiting, size = [], 0
+                    waiting, size, written = [], 0, written + 1
         if waiting:
             yield flush()
 
@@ -208,11 +238,12 @@ def pack(docs: DataFrame, row: int = ROW, vocabulary: str = VOCABULARY) -> tuple
 
 
 def checked(folder: str, rows: DataFrame) -> DataFrame:
-    """``rows`` with ``ids_sha256``, of each row's ids as they stand in its file: all of them, fill included."""
+    """``rows`` with ``ids_sha256``, of each row's ids as they stand in its file: all of them, fill included.
 
-    def run(batches):
-        import hashlib
+    A repeated row gets the same digest again, an empty table stays empty; a row that names no file of the folder is an error.
+    """
 
+    def run(batches):
         shards: dict = {}
         for batch in batches:
             digests = []
@@ -232,4 +263,5 @@ def read_ids(folder: str, name: str):
     fs, path = file_system(folder)
     with fs.open_input_file(f"{path}/{name}") as file:
         head = json.loads(file.read(128))
-        return np.frombuffer(file.read(2 * head["rows"] * head["row"]), head["ids"]).reshape(head["rows"], head["row"])
+        size = np.dtype(head["ids"]).itemsize * head["rows"] * head["row"]
+        return np.frombuffer(file.read(size), head["ids"]).reshape(head["rows"], head["row"])
