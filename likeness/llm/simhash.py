@@ -89,11 +89,11 @@ CONTRACT = Scheme(4, 1, 4, tuple(covering_triples()))
 def similarity_scheme(similarity: float = 0.8, shingle: int = 5, words64: int = 8, keys: int = 128, part64: int = 3, distinct: bool = False) -> Scheme:
     """Bits that differ at a Jaccard similarity of equally large shingle sets, by the angle between them.
 
-    Pairs at the threshold differ in so many of the carried bits give or take a standard error; six
-    errors more are let through, as what is proposed is compared exactly.
+    Pairs at the threshold differ in so many of the carried bits give or take a standard error; four errors more are let
+    through, as what is proposed is compared exactly. One pair in 10,000 at the threshold differs in more.
     """
     share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * part64
-    most = round(bits * share + 6 * math.sqrt(bits * share * (1 - share)))
+    most = round(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
     return Scheme(shingle, words64, most, tuple(spread_pairs(8 * words64, keys)), distinct, part64)
 
 
@@ -246,7 +246,8 @@ def _short_lists(prints, offsets, scheme: Scheme, may=None):
             i = i if may is None else i[may(i, i + gap)]
             near = i[_near(prints[i], prints[i + gap], scheme)]
             pairs += zip(near.tolist(), (near + gap).tolist(), strict=True)
-    return _forest(pairs) if may is None else pairs
+    # A forest of stars around the first members, which are the same in many lists.
+    return _forest(sorted(pairs)) if may is None else pairs
 
 
 def _apart(prints, left, right, scheme: Scheme, may):
@@ -341,6 +342,11 @@ def links(nodes: DataFrame, scheme: Scheme, apart: float = 0.0) -> DataFrame:
             may = (lambda a, b: (roots[a] != roots[b]) & _may_agree(sizes_of, marks, others, a, b, apart)) if apart else None  # noqa: B023
             offsets = members.offsets.to_numpy().astype(np.int64) - members.offsets[0].as_py()
             sizes = np.diff(offsets)
+            # Members in order of nodes, so that lists with the same members propose the same pairs.
+            order = np.lexsort((node, np.repeat(np.arange(len(sizes)), sizes)))
+            own, node, prints = own[order], node[order], prints[order]
+            if apart:
+                roots, sizes_of, others, marks = roots[order], sizes_of[order], others[order], marks[order]
             edges = []
             short = (x == y) & (sizes <= SHORT)
             if short.any():
@@ -490,12 +496,16 @@ def _unsettled(inside: DataFrame, sets: DataFrame, proposed: DataFrame, linked:
     All else that fingerprints could propose lies between two groups that proposals join. Where these are many,
     ``others`` and ``marks`` tell what their sets share; elsewhere all shingles count as others.
     """
-    named = lambda edges, name: connected_components(edges).select("node", F.col("root").alias(name))
-    rows = inside.join(named(proposed, "place"), "node").join(named(linked, "_root"), "node", "left")
-    rows = materialize(rows.select("node", "fp", "place", F.coalesce("_root", "node").alias("root")), "similar-places")
-    places = rows.select("place", "root").distinct().groupBy("place").agg(F.count("*").alias("groups"))
-    counts = rows.groupBy("place").agg(F.count("*").alias("n")).join(places, "place").where("groups > 1")
-    rows = hot_join(rows, counts, "place", rows.count())
+    roots = connected_components(linked).select("node", F.col("root").alias("_root"))
+    rows = inside.join(roots, "node", "left").select("node", "fp", F.coalesce("_root", "node").alias("root"))
+    rows = materialize(rows, "similar-roots")
+    a, b = (rows.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "ra"), ("b", "rb")))
+    across = proposed.join(linked, ["a", "b"], "left_anti").join(a, "a").join(b, "b")
+    places = materialize(connected_components(across.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "similar-places")
+    groups = places.groupBy("root").agg(F.count("*").alias("groups")).withColumnRenamed("root", "place")
+    places = places.select(F.col("node").alias("root"), F.col("root").alias("place")).join(groups, "place")
+    counts = rows.groupBy("root").agg(F.count("*").alias("n")).join(places, "root")
+    rows = hot_join(rows, counts, "root", rows.count())
     rows = materialize(rows.join(sets.select("node", (F.octet_length("shingles") / 8).cast("int").alias("size")), "node"), "similar-open")
     crowded = materialize(sets.join(rows.where(F.col("groups") > CROWD).select("node", "place"), "node"), "similar-crowded")
     shares = rows.join(_shares(crowded), "node", "left")
