@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import subprocess
 from datetime import UTC, datetime
@@ -20,26 +21,51 @@ LEDGER = (
 )
 
 
+def _hadoop(path: str):
+    spark = SparkSession.getActiveSession()
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark, file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), file
+
+
+def read_text(path: str) -> str | None:
+    """A small file in any storage that Spark knows; None if there is none."""
+    spark, fs, file = _hadoop(path)
+    if not fs.exists(file):
+        return None
+    stream = fs.open(file)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(path: str, text: str) -> None:
+    """Replace a small file in any storage that Spark knows."""
+    _, fs, file = _hadoop(path)
+    stream = fs.create(file, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def save_split(split: DataFrame, counts: DataFrame, path: str, source: str, seed: int, fractions: tuple[float, ...], force: bool = False) -> str:
-    """Write ``posting_id, split`` as CSV with a manifest beside it.
+    """The split as a CSV table ``posting_id, split``, and its manifest in a JSON file beside it.
 
-    An existing file is kept if its manifest names the same source, seed and fractions, and refused
-    otherwise, unless forced.
+    The manifest is written last, so a table without one is unfinished and written anew. A finished table of the same
+    source, seed and fractions is left alone; one of others is an error unless ``force`` replaces it.
     """
-    out, manifest = Path(path), Path(path).with_suffix(".json")
-    own = {"source_sha256": file_sha256(source), "seed": seed, "fractions": list(fractions)}
-    if out.exists() and not force:
-        old = json.loads(manifest.read_text()) if manifest.exists() else {}
-        if any(old.get(k) != v for k, v in own.items()):
-            raise FileExistsError(f"{path} was made from other input or settings; only force replaces it")
+    manifest = f"{path.removesuffix('.csv')}.json"
+    wanted = {"source_csv": source, "source_sha256": file_sha256(source), "seed": seed, "fractions": list(fractions)}
+    written = json.loads(read_text(manifest) or "{}")
+    differs = sorted(k for k in wanted.keys() - {"source_csv"} if written.get(k) != wanted[k])
+    if written and not differs:
         return path
-    out.parent.mkdir(parents=True, exist_ok=True)
-    with open(out, "w", newline="") as file:
-        writer = csv.writer(file)
-        writer.writerow(["posting_id", "split"])
-        writer.writerows(split.select("posting_id", "split").toLocalIterator())
-    found = {r["split"]: {"listings": r["listings"], "groups": r["groups"]} for r in counts.collect()}
-    manifest.write_text(json.dumps({"source_csv": source, **own, "counts": found}, indent=2))
+    if written and not force:
+        raise FileExistsError(f"{path} exists with another {', '.join(differs)}")
+    split.select("posting_id", "split").write.mode("overwrite").csv(path, header=True)
+    numbers = counts.select(F.map_from_entries(F.array(F.struct("split", F.struct("listings", "groups")))).alias("c")).toJSON().collect()
+    write_text(manifest, json.dumps({**wanted, "counts": {k: v for n in numbers for k, v in json.loads(n)["c"].items()}}, indent=2))
     return path
 
 
@@ -92,28 +118,24 @@ def rounded(name: str, value: object) -> object:
     return round(value, 6 if name.startswith("usd") else 4) if isinstance(value, float) else value
 
 
+def _line(values) -> str:
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerow(values)
+    return out.getvalue()
+
+
 def append_ledger(path: str, record: dict) -> None:
-    """One row per run; a file whose header differs is refused."""
-    file = Path(path)
-    new = not file.exists()
-    if not new:
-        with open(file, newline="") as lines:
-            if tuple(next(csv.reader(lines), [])) != LEDGER:
-                raise ValueError(f"the header of {path} is not a ledger's")
-    row = {**{c: record.get(c, "") for c in LEDGER}, **record["metrics"]}
-    file.parent.mkdir(parents=True, exist_ok=True)
-    with open(file, "a", newline="") as lines:
-        writer = csv.DictWriter(lines, fieldnames=LEDGER, extrasaction="ignore")
-        if new:
-            writer.writeheader()
-        writer.writerow({c: rounded(c, row[c]) for c in LEDGER})
+    """Add the run's row to the ledger, which starts with its header; a file that starts otherwise is refused."""
+    header, ledger = _line(LEDGER), read_text(path)
+    if ledger is not None and ledger.replace("\r\n", "\n").partition("\n")[0] != header.rstrip("\n"):
+        raise ValueError(f"the header of {path} is not a ledger's")
+    known = record | record["metrics"]
+    write_text(path, (ledger or header) + _line(rounded(c, known.get(c, "")) for c in LEDGER))
 
 
 def write_run(results: str, record: dict) -> None:
     """The run's record as JSON, and its ledger row."""
-    runs = Path(results) / "runs"
-    runs.mkdir(parents=True, exist_ok=True)
-    (runs / f"{record['name']}__{record['split']}.json").write_text(json.dumps(record, indent=2))
+    write_text(f"{results}/runs/{record['name']}__{record['split']}.json", json.dumps(record, indent=2))
     append_ledger(f"{results}/ledger.csv", record)
 
 

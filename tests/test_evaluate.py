@@ -61,7 +61,8 @@ def test_nested_retrievers_train_and_rerank(spark, project):
     assert len(model["coef"]) == 4 and json.loads((top / "fusion.json").read_text()) == model
     val = evaluate.split_frame(spark, config, "val")
     found = retrievers.build(full["retriever"])(val, val, 5)
-    assert found.where("rank = 1 and query_id = cand_id").count() == val.count()
+    # Its own hash boosts each query to the top score, which listings of the same words or hash may share.
+    assert found.where("query_id = cand_id and score = 1").count() == val.count()
     evaluate.export(spark, full, str(top / "pairs"), n=3, train_queries=20)
     evaluate.mine(spark, full, str(top / "mined"), 5, 2)
     pairs = tables.read_csv(spark, str(top / "pairs/pairs_train"), {"query": "string", "candidate": "string", "base_score": "double", "same": "boolean", "fold": "string"})
