@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from likeness.functions.vectors import dot, l2_normalise
+from likeness.functions.vectors import l2_normalise
 from likeness.operators.blocks import block_join
 from likeness.operators.candidates import PLACES, top_k
 
 _HITS = "query_id long, cand_id long, score double"
+#: Lists of the inverted file, rows that its centres are fitted on, rows of a list that lie together, queries that its probes are planned on.
+MOST_CENTRES, SAMPLE_ROWS, PART_ROWS, PLANNED = 4096, 50_000, 4096, 200
 
 
 def look_up(frame: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -30,8 +33,8 @@ def _matrix(column: pa.ChunkedArray):
     return rows.flatten().to_numpy().astype(np.float64).reshape(len(rows), -1)
 
 
-def exact(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest by inner product, both sides ``id, embedding``. Fewer where the corpus is smaller."""
+def _compare(k: int):
+    """A function that yields all of two blocks that may be among the k best of each query: ties and the last places' rounding included."""
 
     def compare(q: pa.Table, c: pa.Table) -> pa.Table:
         import numpy as np
@@ -41,7 +44,6 @@ def exact(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         width = min(k, len(ids))
         for at in range(0, len(a), 256):
             about = a[at : at + 256] @ b.T
-            # All that may be among the k best: ties and the last places' rounding included.
             floor = np.partition(about, about.shape[1] - width, axis=1)[:, about.shape[1] - width]
             i, j = np.nonzero(about >= floor[:, None] - 10.0**-PLACES)
             score = np.zeros(len(i))
@@ -51,41 +53,84 @@ def exact(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                 part.append(x)
         return pa.table(dict(zip(("query_id", "cand_id", "score"), map(np.concatenate, out), strict=True)))
 
+    return compare
+
+
+def exact(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest by inner product, both sides ``id, embedding``. Fewer where the corpus is smaller."""
     value = F.col("embedding").alias("value")
-    hits = block_join(queries.select("id", value), corpus.select("id", value), compare, _HITS)
+    hits = block_join(queries.select("id", value), corpus.select("id", value), _compare(k), _HITS)
     return top_k(hits, k)
 
 
-def approximate(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 24, bits: int = 6, seed: int = 7) -> DataFrame:
-    """The ``k`` nearest among those that share a bucket of random hyperplanes in some table.
+def _centres(corpus: DataFrame, n: int, seed: int):
+    """Centres of about 2 sqrt(n) lists, MOST_CENTRES at most, by k-means over at most SAMPLE_ROWS rows of lowest hash."""
+    import numpy as np
 
-    Only bucket-mates are compared; more tables find more, more bits compare less.
+    rows = corpus.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(SAMPLE_ROWS).select("embedding").toPandas()
+    x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = x[: min(len(x), MOST_CENTRES, max(1, int(2 * n**0.5)))].copy()
+    for _ in range(8):
+        of = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, x)
+        filled = np.bincount(of, minlength=len(centres)) > 0
+        centres[filled] = sums[filled] / np.maximum(np.linalg.norm(sums[filled], axis=1, keepdims=True), 1e-12)
+    return centres
+
+
+def approximate(queries: DataFrame, corpus: DataFrame, k: int, recall: float = 0.97, seed: int = 7) -> DataFrame:
+    """The ``k`` nearest by an inverted file: vectors lie in lists around centres, a query looks into the lists nearest to it.
+
+    How many lists are looked into is planned: for PLANNED of the queries the true neighbours are found, and the
+    number is the least that reaches ``recall`` over them. Lists are cut into parts of bounded size. Vectors that are null take
+    no part. What comes to the driver: centres, and the places of the planned queries' neighbours.
     """
-    dim = corpus.select(F.size("embedding").alias("n")).first()
-    if dim is None:
-        return queries.sparkSession.createDataFrame([], f"{_HITS}, rank int")
-
-    @F.pandas_udf("array<long>")
-    def buckets(vectors):
-        import numpy as np
-        import pandas as pd
-
-        planes = np.random.default_rng(seed).normal(size=(dim["n"], tables * bits))
-        side = (np.stack(vectors.to_numpy()).astype(np.float64) @ planes > 0).reshape(len(vectors), tables, bits)
-        code = (side * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
-        return pd.Series(list(code.astype(np.int64)))
+    import numpy as np
 
-    left = queries.select(F.col("id").alias("query_id"), F.explode(buckets("embedding")).alias("bucket"))
-    right = corpus.select(F.col("id").alias("cand_id"), F.explode(buckets("embedding")).alias("bucket"))
-    pairs = left.join(right, "bucket").select("query_id", "cand_id").distinct()
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    c = corpus.select(F.col("id").alias("cand_id"), F.col("embedding").alias("c"))
-    scored = pairs.join(q, "query_id").join(c, "cand_id")
-    return top_k(scored.select("query_id", "cand_id", dot(F.col("q"), F.col("c")).alias("score")), k)
+    queries, corpus = (df.where(F.col("embedding").isNotNull()).select("id", "embedding") for df in (queries, corpus))
+    n = corpus.count()
+    if not n:
+        return queries.sparkSession.createDataFrame([], f"{_HITS}, rank int")
+    centres = _centres(corpus, n, seed)
+
+    def lists(most: int):
+        """The numbers of the ``most`` lists nearest to each vector, nearest first."""
+
+        @F.pandas_udf("array<int>")
+        def nearest(vectors: pd.Series) -> pd.Series:
+            near = np.stack(vectors.to_numpy()).astype(np.float64) @ centres.T
+            return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :most].astype(np.int32)))
+
+        return nearest("embedding")
+
+    home = corpus.select("id", "embedding", F.get(lists(1), F.lit(0)).alias("list"))
+    planned = queries.orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").limit(PLANNED)
+    truth = exact(planned, corpus, k).join(home.select(F.col("id").alias("cand_id"), "list"), "cand_id")
+    order = planned.select(F.col("id").alias("query_id"), lists(len(centres)).alias("order"))
+    places = truth.join(order, "query_id").select(F.array_position("order", F.col("list")).alias("place")).toPandas()["place"].to_numpy()
+    probes = int(np.quantile(places, recall, method="higher")) if len(places) else 1
+    # A list's part meets every query that looks into the list; parts have about PART_ROWS rows.
+    parts = home.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    asked = queries.select(F.col("id").alias("q_id"), F.col("embedding").alias("q_value"), F.explode(lists(probes)).alias("list"))
+    asked = asked.join(F.broadcast(parts), "list").select("q_id", "q_value", F.col("list").alias("q_list"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q_part"))
+    held = home.join(F.broadcast(parts), "list").select(
+        F.col("id").alias("c_id"), F.col("embedding").alias("c_value"), F.col("list").alias("c_list"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("c_part")
+    )
+    compare, none = _compare(k), pa.table({"query_id": pa.array([], pa.int64()), "cand_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not q.num_rows or not c.num_rows:
+            return none
+        return compare(*[pa.table({"id": t.column(0), "value": t.column(1)}) for t in (q, c)])
+
+    hits = asked.groupBy("q_list", "q_part").cogroup(held.groupBy("c_list", "c_part")).applyInArrow(run, _HITS)
+    return top_k(hits, k)
 
 
 #: What a configuration may call a vector store. The exact ones differ in nothing but their name.
-STORES = {"numpy": exact, "exact": exact, "flat": exact, "qdrant": exact, "hnsw": approximate, "lsh": approximate}
+STORES = {"numpy": exact, "exact": exact, "flat": exact, "qdrant": exact, "hnsw": approximate, "ivf": approximate}
 
 
 def store(config: dict | None):

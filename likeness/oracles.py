@@ -220,6 +220,7 @@ ORACLES: dict[str, str] = {
     "bm25_topk": _with([*_bm25(LISTINGS, LISTINGS), _B_TOP], "SELECT * FROM b_top"),
     "bm25_self_score": _with(_bm25(TITLES, TITLES), "SELECT query_id, round(self_score, 9) AS self_score FROM b_self"),
     "bm25_benchmark_vs_documents": _with(_bm25(DOCUMENTS, ITEMS), _topk("SELECT * FROM b_scored", K)),
+    "ivf_recall": "SELECT CAST(count(*) * least(51, count(*)) AS BIGINT) AS neighbours, true AS nine_in_ten FROM embeddings",
     "cosine_topk": _with(_cosine(VECTORS, K + 1), "SELECT * FROM d_top"),
     "neighbour_votes": _with(_voted(VECTORS), "SELECT id, round(e[1], 9) AS x0, round(e[64], 9) AS x63 FROM v_new"),
     "knn_expand": _with([*_voted(VECTORS), *_cosine("SELECT id, e FROM v_new", K + 1)], "SELECT * FROM d_top"),

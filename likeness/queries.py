@@ -106,11 +106,19 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.search(rows, rows, K + 1)
 
 
-def cosine_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cosine_topk_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     return dense.search(rows, rows, K + 1, find=dense.approximate)
 
 
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many neighbours there are, and whether the inverted file finds nine in ten of them."""
+    true = cosine_topk(spark, sf_dir).select("query_id", "cand_id", F.lit(1).alias("true"))
+    found = cosine_topk_ivf(spark, sf_dir).select("query_id", "cand_id", F.lit(1).alias("found"))
+    both = true.join(found, ["query_id", "cand_id"], "left")
+    return both.agg(F.count("*").alias("neighbours"), (F.count("found") >= 0.9 * F.count("*")).alias("nine_in_ten"))
+
+
 def neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first components of the voted vectors, which a search would hide behind ranks."""
     rows = vectors(spark, sf_dir)
@@ -357,7 +365,7 @@ def final_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     tokenize, canonical_units, decode_titles, term_stats, bm25_postings, bm25_topk, bm25_topk_titles, bm25_self_score, bm25_benchmark_vs_documents,
-    cosine_topk, cosine_topk_lsh, neighbour_votes, knn_expand, hamming_pairs, phash_boost, phash_boost_titles, fusion_features, rrf_fusion, learned_fusion,
+    cosine_topk, cosine_topk_ivf, ivf_recall, neighbour_votes, knn_expand, hamming_pairs, phash_boost, phash_boost_titles, fusion_features, rrf_fusion, learned_fusion,
     rerank_by_overlap, drop_self_topk, match_flags, group_sizes, recall, mrr, f1_threshold, f1_min_matches, f1_relative, floor_f1, f1_curve,
     tune_threshold, precision_at_recall, latency_percentiles, pool_union, group_split, split_counts, fold_assign, coverage_antijoin,
     hard_negatives, pair_export, captured_share, triplets, title_jaccard_pairs, fusion_logreg, title_vectors, bootstrap_gain,
