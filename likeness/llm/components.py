@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from likeness.llm.common import drop_table, materialize
 
 
-#: A key is hot if it holds more than a thousandth of all rows, and more than so many.
+#: Groups of so few rows in all are broadcast as a whole: two or three numbers each.
+SMALL_ROWS = 200_000
+#: Beyond, a key is hot if it holds more than a thousandth of all rows, and more than so many.
 HOT_ROWS = 1000
 
 
 def hot_join(rows: DataFrame, groups: DataFrame, key: str, n_rows: int) -> DataFrame:
-    """``rows`` with what ``groups`` (a row per key, with ``n``, the key's number of rows) says of their key; n is left out.
+    """``rows``, ``n_rows`` of them, with what ``groups`` (a row per key, with ``n``, the key's number of rows) says of their key.
 
-    Hot keys, of which there are a thousand at most, are broadcast, so their rows stay where they are; the rest is shuffled.
+    There are no more groups than rows, so few rows have few groups, which are broadcast. Of many, the hot keys, a
+    thousand at most, are broadcast, so their rows stay where they are, and the rest is shuffled. ``n`` is left out.
     """
+    if n_rows <= SMALL_ROWS:
+        return rows.join(F.broadcast(groups.drop("n")), key)
     hot = F.col("n") > max(HOT_ROWS, n_rows // 1000)
     few, rest = F.broadcast(groups.where(hot).drop("n")), groups.where(~hot).drop("n")
     return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))
@@ -26,7 +31,7 @@ def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node ties its larger neighbours to its smallest neighbour, itself included."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
-    return hot_join(both.where(F.col("b") > F.col("a")), least, "a", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return hot_join(both.where(F.col("b") > F.col("a")), least, "a", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame, n: int) -> DataFrame:

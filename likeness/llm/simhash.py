@@ -473,7 +473,8 @@ def _shares(sets: DataFrame) -> DataFrame:
     top = counts.withColumn("nth", F.row_number().over(frequent)).where((F.col("nth") <= MARKED) & (F.col("n") > 1))
     top = top.groupBy("place").agg(F.array_sort(F.collect_list("shingle")).alias("top"))
     members = sets.groupBy("place").agg(F.count("*").alias("n"))
-    known = hot_join(sets.join(own, "node", "left"), top.join(members, "place"), "place", sets.count())
+    # Places hold more than CROWD sets each, so there are few among few sets.
+    known = hot_join(sets.join(own, "node", "left"), top.join(members, "place"), "place", CROWD * sets.count())
 
     def mark(batches):
         import numpy as np
@@ -543,6 +544,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
     Of repeated rows with that id one stays; rows without an id all stay.
     """
     found = similar_documents(docs.select("doc_id", "text"), similarity, shingle)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    keep = materialize(keep, "similar-kept")
+    chosen = lambda rows: docs.alias("d").join(keep.where(rows).alias("k"), F.col("d.doc_id") == F.col("k._kept"), "left_semi")
+    # Only rows whose id others share are compared with each other; the rest is looked up and left where it is.
+    kept = chosen("_rows = 1").unionByName(chosen("_rows > 1").dropDuplicates(["doc_id"]))
     return kept.unionByName(docs.where("doc_id is null"))

@@ -153,6 +153,7 @@ def test_hot_keys_are_joined_like_others(spark, monkeypatch):
     rows = spark.createDataFrame([(i % 7 if i % 3 else None, i) for i in range(200)] + [(50, i) for i in range(400)], "key long, i long")
     groups = rows.groupBy("key").agg(F.min("i").alias("m"), F.count("*").alias("n"))
     plain = sorted(map(tuple, rows.join(groups.drop("n"), "key").collect()))
-    for hot in (5, 25, 10_000):
+    for small, hot in ((0, 5), (0, 25), (0, 10_000), (600, 5)):
+        monkeypatch.setattr(stars, "SMALL_ROWS", small)
         monkeypatch.setattr(stars, "HOT_ROWS", hot)
         assert sorted(map(tuple, stars.hot_join(rows, groups, "key", 600).collect())) == plain
