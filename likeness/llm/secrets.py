@@ -160,6 +160,13 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), step).otherwise(empty)
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, longer where a column is called so, in any case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``found``: array of (start, rank, end, kind) of all secrets, by start, then rule order.
 
@@ -169,16 +176,17 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     gated = tuple(r for r in rules if trigram_query(r.pattern))
     hits = materialize(candidates(postings(docs, gated), gated), "secret-candidates")
-    hits = hits.select(F.col("doc_id").alias("_hit"), F.col("kinds").alias("_kinds"))
+    hit, kinds = (_free(name, docs.columns) for name in ("_hit", "_kinds"))
+    hits = hits.select(F.col("doc_id").alias(hit), F.col("kinds").alias(kinds))
     small = hits.count() <= BROADCAST_ROWS
-    rows = docs.drop("found").join(F.broadcast(hits) if small else hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left")
+    rows = docs.drop("found").join(F.broadcast(hits) if small else hits, F.col("doc_id").eqNullSafe(F.col(hit)), "left")
     text = fill(F.col("text"))
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
     parts = [
-        F.when(F.array_contains("_kinds", r.kind), _spans(text, r, n)).otherwise(empty) if r in gated else _spans(text, r, n)
+        F.when(F.array_contains(kinds, r.kind), _spans(text, r, n)).otherwise(empty) if r in gated else _spans(text, r, n)
         for n, r in enumerate(rules)
     ]
-    return rows.withColumn("found", F.array_sort(F.concat(*parts))).drop("_hit", "_kinds")
+    return rows.withColumn("found", F.array_sort(F.concat(*parts))).drop(hit, kinds)
 
 
 def listed(found: Column) -> Column:

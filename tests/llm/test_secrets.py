@@ -72,3 +72,11 @@ def test_real_texts_match_brute_force(spark, data, table):
     for r in docs.collect():
         counts, digest, _ = brute(r["text"])
         assert got[r["doc_id"]]["base_sha256"] == digest and got[r["doc_id"]]["n_hex"] == counts["hex"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(1, "token = abcdefghijkl1", "a", "b", "c"), (None, None, "d", "e", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _hit string, _KINDS string, _folded string")
+    got = secrets.scan(df)
+    assert got.columns == [*df.columns, "found"]
+    assert sorted((r["_hit"], r["_KINDS"], r["_folded"], len(r["found"])) for r in got.collect()) == [("a", "b", "c", 1), ("d", "e", "f", 0)]
