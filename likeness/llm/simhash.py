@@ -32,6 +32,8 @@ CHUNK = 2048
 SHORT = 48
 #: Proposals that join more confirmed groups than this make it worth a look which shingles their sets share.
 CROWD = 16
+#: Sets of fewer shingles are too small for their fingerprints to tell how similar they are.
+FEW_SHINGLES = 32
 #: The most frequent shingles of such a place, of which each set's are marked.
 MARKED = 512
 
@@ -86,7 +88,7 @@ class Scheme:
 CONTRACT = Scheme(4, 1, 4, tuple(covering_triples()))
 
 
-def similarity_scheme(similarity: float = 0.8, shingle: int = 5, words64: int = 8, keys: int = 128, part64: int = 3, distinct: bool = False) -> Scheme:
+def similarity_scheme(similarity: float = 0.8, shingle: int = 5, words64: int = 8, keys: int = 128, part64: int = 2, distinct: bool = False) -> Scheme:
     """Bits that differ at a Jaccard similarity of equally large shingle sets, by the angle between them.
 
     Pairs at the threshold differ in so many of the carried bits give or take a standard error; four errors more are let
@@ -287,6 +289,20 @@ def _long_list(left, right, scheme: Scheme):
     return edges
 
 
+def _long_lists(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """``key, n`` of the posting lists longer than CHUNK.
+
+    A list is no longer than all lists of its kind of key together that have its first byte. These are counted first, and
+    only keys under long ones are counted whole. There are 256 such counts a kind of key at most, whatever the input.
+    """
+    keys = [F.concat(F.lit(bytes([n])), *[F.substring("fp", p + 1, 1) for p in places]) for n, places in enumerate(scheme.keys)]
+    narrow = nodes.select(F.explode(F.array(*keys)).alias("k"))
+    shared = F.substring("k", 1, 2).alias("shared")
+    wide = narrow.groupBy(shared).agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("shared")
+    counts = narrow.select("k", shared).join(F.broadcast(wide), "shared", "left_semi").groupBy("k").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") > CHUNK).select(F.conv(F.hex("k"), 16, 10).cast("long").alias("key"), "n")
+
+
 def links(nodes: DataFrame, scheme: Scheme, apart: float = 0.0) -> DataFrame:
     """Edges ``a, b`` between nodes (node long, fp binary) that join whatever the links of the scheme join.
 
@@ -317,15 +333,16 @@ def links(nodes: DataFrame, scheme: Scheme, apart: float = 0.0) -> DataFrame:
 
     names = ["key", "node", "fp", *more]
     postings = nodes.mapInArrow(post, "key long, node long, fp binary" + (", root long, size int, others int, marks binary" if apart else ""))
-    narrow = nodes.select("fp", F.explode(F.array(*[F.concat(F.lit(bytes([n])), *[F.substring("fp", p + 1, 1) for p in places]) for n, places in enumerate(scheme.keys)])).alias("k"))
-    number = F.conv(F.hex("k"), 16, 10).cast("long").alias("key")
-    lengths = narrow.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(number, "n")
-    met = postings.join(lengths, "key")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    long_lists = _long_lists(nodes, scheme)
+    met = postings.join(long_lists, "key", "left")
+    chunks = F.coalesce(F.ceil(F.col("n") / CHUNK).cast("int"), F.lit(1))
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     # A long list: its chunk meets every other chunk; the pair (x, y) of chunks with x <= y is one task's work.
     met = met.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
-    lists = met.groupBy("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(
+    met = met.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *names[1:])
+    # Pairs of chunks are dealt on their own, however the long lists were joined.
+    met = met.repartition("key", "x", "y")
+    lists = met.groupBy("key", "x", "y").agg(
         F.collect_list(F.struct("own", *names[1:])).alias("members"), *([(F.min("root") < F.max("root")).alias("several")] if apart else [])
     ).where(F.size("members") > 1)
     lists = lists.where("several").drop("several") if apart else lists
@@ -424,8 +441,8 @@ def _sets(rows: DataFrame, chosen: DataFrame, scheme: Scheme) -> DataFrame:
                 sets = pa.array([_shingles(t, scheme).tobytes() for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["node", "shingles"])
 
-    texts = rows.join(chosen, "_row").select("node", "_text")
-    return texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    texts = rows.join(chosen, "_row").select("node", "_text").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, shingles binary")
 
 
 def _agreed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -450,6 +467,33 @@ def _agreed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _likely(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``a, b`` that sizes and whole fingerprints (``known``: node, fp, size) leave open.
+
+    Sets of that similarity have such sizes. Of FEW_SHINGLES or more they differ in the bits that the angle gives, with five
+    standard errors let through, so one pair in millions at the threshold is left out. Sets of fewer are left to the exact comparison.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x, y = part.column(2).to_pylist(), part.column(3).to_pylist()
+                bits = 8 * len(x[0])
+                differ = np.bitwise_count(np.frombuffer(b"".join(x), np.uint64) ^ np.frombuffer(b"".join(y), np.uint64))
+                most = bits * share + 5 * math.sqrt(bits * share * (1 - share))
+                near = differ.reshape(len(x), -1).sum(axis=1, dtype=np.int64) <= most
+                few = part.column(4).to_numpy() < FEW_SHINGLES
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(near | few))
+
+    x, y = (known.select(F.col("node").alias(n), F.col("fp").alias(f), F.col("size").alias(c)) for n, f, c in (("a", "x", "m"), ("b", "y", "n")))
+    open_pairs = pairs.join(x, "a").join(y, "b").where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9)
+    return open_pairs.select("a", "b", "x", "y", F.least("m", "n").alias("least")).mapInArrow(run, "a long, b long")
+
+
 def _shares(sets: DataFrame) -> DataFrame:
     """``node, others, marks`` of sets (node, place, shingles).
 
@@ -498,7 +542,7 @@ def _unsettled(inside: DataFrame, sets: DataFrame, proposed: DataFrame, linked:
     ``others`` and ``marks`` tell what their sets share; elsewhere all shingles count as others.
     """
     roots = connected_components(linked).select("node", F.col("root").alias("_root"))
-    rows = inside.join(roots, "node", "left").select("node", "fp", F.coalesce("_root", "node").alias("root"))
+    rows = inside.join(roots, "node", "left").select("node", "fp", "size", F.coalesce("_root", "node").alias("root"))
     rows = materialize(rows, "similar-roots")
     a, b = (rows.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "ra"), ("b", "rb")))
     across = proposed.join(linked, ["a", "b"], "left_anti").join(a, "a").join(b, "b")
@@ -506,8 +550,7 @@ def _unsettled(inside: DataFrame, sets: DataFrame, proposed: DataFrame, linked:
     groups = places.groupBy("root").agg(F.count("*").alias("groups")).withColumnRenamed("root", "place")
     places = places.select(F.col("node").alias("root"), F.col("root").alias("place")).join(groups, "place")
     counts = rows.groupBy("root").agg(F.count("*").alias("n")).join(places, "root")
-    rows = hot_join(rows, counts, "root", rows.count())
-    rows = materialize(rows.join(sets.select("node", (F.octet_length("shingles") / 8).cast("int").alias("size")), "node"), "similar-open")
+    rows = materialize(hot_join(rows, counts, "root", rows.count()), "similar-open")
     crowded = materialize(sets.join(rows.where(F.col("groups") > CROWD).select("node", "place"), "node"), "similar-crowded")
     shares = rows.join(_shares(crowded), "node", "left")
     none = F.lit(bytes(MARKED // 8))
@@ -530,10 +573,14 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     met = proposed.select(F.col("a").alias("node")).unionByName(proposed.select(F.col("b").alias("node"))).distinct()
     inside = materialize(nodes.join(met, "node").select("node", "fp", "_row"), "similar-met")
     sets = materialize(_sets(rows, inside.select("node", "_row"), scheme), "similar-sets")
-    linked = materialize(_agreed(proposed, sets, similarity), "similar-links")
+    sizes = sets.select("node", (F.octet_length("shingles") / 8).cast("int").alias("size"))
+    inside = materialize(inside.join(sizes, "node"), "similar-sizes")
+    likely = materialize(_likely(proposed, inside, similarity), "similar-likely")
+    linked = materialize(_agreed(likely, sets, similarity), "similar-links")
     apart = materialize(_unsettled(inside, sets, proposed, linked), "similar-apart")
     rest = materialize(ordered(links(apart, scheme, similarity)).join(proposed, ["a", "b"], "left_anti"), "similar-rest")
-    linked = linked.unionByName(materialize(_agreed(rest, sets, similarity), "similar-more"))
+    likely = materialize(_likely(rest, inside, similarity), "similar-likely")
+    linked = linked.unionByName(materialize(_agreed(likely, sets, similarity), "similar-more"))
     by_node = materialize(_components(nodes, linked), "similar-components")
     return hot_join(known, by_node, "node", known.count()).select("doc_id", "fp", "component_id")
 
