@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from likeness.llm.common import materialize, slices
-from likeness.llm.components import connected_components, hot_join
+from likeness.llm.components import SMALL_ROWS, connected_components, hot_join
 
 SEED = 42
 #: A posting list longer than this is cut into chunks, and each pair of chunks is compared in a task of its own.
@@ -333,8 +333,9 @@ def links(nodes: DataFrame, scheme: Scheme, apart: float = 0.0) -> DataFrame:
 
     names = ["key", "node", "fp", *more]
     postings = nodes.mapInArrow(post, "key long, node long, fp binary" + (", root long, size int, others int, marks binary" if apart else ""))
-    long_lists = _long_lists(nodes, scheme)
-    met = postings.join(long_lists, "key", "left")
+    long_lists = materialize(_long_lists(nodes, scheme), "simhash-long")
+    # Postings stay where they are if the long lists are counted few, and are dealt by key for the look-up otherwise.
+    met = postings.join(F.broadcast(long_lists) if long_lists.count() <= SMALL_ROWS else long_lists, "key", "left")
     chunks = F.coalesce(F.ceil(F.col("n") / CHUNK).cast("int"), F.lit(1))
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     # A long list: its chunk meets every other chunk; the pair (x, y) of chunks with x <= y is one task's work.
