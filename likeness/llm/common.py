@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,55 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` in shared storage with ``_at``, a number of its own for each row, whose upper bits say in which part it was written."""
+    return materialize(df.withColumn("_at", F.monotonically_increasing_id()), name)
+
+
+def picker(choice: DataFrame, name: str):
+    """A function of Arrow batches of a placed table that leaves the rows that ``choice`` (_at, and what it says of them) has.
+
+    The choice is dealt to a file for each part of the placed table, and a task reads those of the parts that it holds. So the
+    placed table stays where it is. What the choice says of a row is appended to its columns. It has no ``_at`` twice.
+    """
+    path = shared_path(choice.sparkSession, name)
+    # The lower 33 bits count the rows of a part.
+    choice.withColumn("_part", F.shiftright("_at", 33)).repartition("_part").write.partitionBy("_part").parquet(path)
+    more = [c for c in choice.columns if c != "_at"]
+
+    def chosen(part: int) -> pa.Table:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        system, root = file_system(path)
+        files = system.get_file_info(fs.FileSelector(f"{root}/_part={part}", allow_not_found=True))
+        tables = [pq.read_table(f.path, filesystem=system, partitioning=None) for f in files if f.path.endswith(".parquet")]
+        return pa.concat_tables(tables).sort_by("_at").combine_chunks() if tables else None
+
+    def pick(batches):
+        import numpy as np
+
+        part, known = None, None
+        for batch in batches:
+            at = batch.column(batch.schema.get_field_index("_at")).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(at >> 33)) + 1).tolist(), len(at)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if hi > lo and at[lo] >> 33 != part:
+                    part = int(at[lo] >> 33)
+                    known = chosen(part)
+                if hi == lo or known is None:
+                    continue
+                held = known["_at"].to_numpy()
+                where = np.minimum(np.searchsorted(held, at[lo:hi]), len(held) - 1)
+                hit = held[where] == at[lo:hi]
+                rows, of = batch.slice(lo, hi - lo).filter(pa.array(hit)), pa.array(where[hit])
+                extra = [known[c].combine_chunks().take(of) for c in more]
+                extra = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in extra]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *extra], names=[*rows.schema.names, *more])
+
+    return pick
+
+
 def fill(text: Column) -> Column:
     """Null text counts as empty."""
     return F.coalesce(text.cast("string"), F.lit(""))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from likeness.llm.common import materialize, slices
+from likeness.llm.common import materialize, picker, placed, slices
 from likeness.llm.components import SMALL_ROWS, connected_components, hot_join
 
 SEED = 42
@@ -34,6 +34,8 @@ SHORT = 48
 CROWD = 16
 #: Sets of fewer shingles are too small for their fingerprints to tell how similar they are.
 FEW_SHINGLES = 32
+#: Of the nodes that lists propose for a node, so many are compared with it at once.
+LIKELIEST = 2
 #: The most frequent shingles of such a place, of which each set's are marked.
 MARKED = 512
 
@@ -416,8 +418,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _described(rows: DataFrame, scheme: Scheme) -> DataFrame:
-    """``doc_id, fp, node, _row``: node is a hash of the set of shingles."""
-    schema = rows.select("doc_id", F.lit(b"").alias("fp"), F.lit(0).cast("long").alias("node"), "_row").schema
+    """``doc_id, fp, node, _at``: node is a hash of the set of shingles."""
+    schema = rows.select("doc_id", F.lit(b"").alias("fp"), F.lit(0).cast("long").alias("node"), "_at").schema
 
     def run(batches):
         import numpy as np
@@ -428,22 +430,35 @@ def _described(rows: DataFrame, scheme: Scheme) -> DataFrame:
                 sets = [_shingles(t, scheme) for t in texts]
                 fps = pa.array([_majority(x, scheme) for x in sets], pa.binary())
                 node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), fps, pa.array(node), part.column(2)], names=["doc_id", "fp", "node", "_row"])
+                yield pa.RecordBatch.from_arrays([part.column(0), fps, pa.array(node), part.column(2)], names=["doc_id", "fp", "node", "_at"])
 
-    return rows.select("doc_id", "_text", "_row").mapInArrow(run, schema)
+    return rows.select("doc_id", "_text", "_at").mapInArrow(run, schema)
 
 
 def _sets(rows: DataFrame, chosen: DataFrame, scheme: Scheme) -> DataFrame:
-    """``node, shingles`` of the chosen nodes (node, _row): their sorted shingles, eight bytes each."""
+    """``node, shingles`` of the chosen nodes (node, _at): their sorted shingles, eight bytes each. Texts stay where they are."""
+    pick = picker(chosen.select("_at", "node"), "similar-chosen")
 
     def run(batches):
-        for batch in batches:
+        for batch in pick(batches):
             for part, (texts,) in slices(batch, ["_text"]):
                 sets = pa.array([_shingles(t, scheme).tobytes() for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(2), sets], names=["node", "shingles"])
+
+    return rows.select("_at", "_text").mapInArrow(run, "node long, shingles binary")
 
-    texts = rows.join(chosen, "_row").select("node", "_text").dropDuplicates(["node"])
-    return texts.mapInArrow(run, "node long, shingles binary")
+
+def _thinned(edges: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` (a < b) that join what ``edges`` (a, b, repeated) join, far fewer than these where many meet in many lists.
+
+    Each node keeps the LIKELIEST smaller ones that most lists propose for it; all its smaller ones are joined to the smallest
+    of them, and these pairs are the same for many nodes.
+    """
+    counted = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    met = counted.groupBy("b").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "a"))).alias("of"), F.min("a").alias("least"))
+    own = met.select(F.explode(F.slice("of", 1, LIKELIEST)["a"]).alias("a"), "b")
+    among = met.where(F.size("of") > 1).select(F.col("least").alias("a"), F.explode(F.col("of")["a"]).alias("b")).where("a <> b")
+    return own.unionByName(among).distinct()
 
 
 def _agreed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -561,19 +576,25 @@ def _unsettled(inside: DataFrame, sets: DataFrame, proposed: DataFrame, linked:
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """As ``near_duplicates``, linking texts whose shingle sets have that Jaccard similarity or more.
 
-    Fingerprints propose pairs, the sets decide. First each posting list proposes a spanning forest. Where the confirmed
-    part of it leaves groups apart that proposals had joined, all pairs between these groups are proposed whose sets may be
-    that similar, by what they share of the place's most frequent shingles and by the size of the rest.
+    Fingerprints propose pairs, the sets decide. First each posting list proposes a spanning forest, and of all of them
+    pairs are kept that join the same. Where the confirmed part leaves groups apart that proposals had joined, all pairs between these groups
+    are proposed whose sets may be that similar, by what they share of the place's most frequent shingles and by the size of the rest.
+    Texts are written to the shared folder once, and are not moved after that.
     """
+    rows = placed(docs.select("doc_id", F.col("text").cast("string").alias("_text")), "similar-rows")
+    return _similar(rows, similarity, shingle).select("doc_id", "fp", "component_id")
+
+
+def _similar(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``doc_id, fp, component_id, _at`` of placed rows (doc_id, _text, _at)."""
     scheme = similarity_scheme(similarity, shingle, distinct=True)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("_text")).withColumn("_row", F.xxhash64("doc_id", "_text"))
     known = materialize(_described(rows, scheme), "similar")
-    nodes = materialize(known.groupBy("node", "fp").agg(F.min("doc_id").alias("doc_id"), F.min("_row").alias("_row"), F.count("*").alias("n")), "similar-nodes")
+    nodes = materialize(known.groupBy("node", "fp").agg(F.min("doc_id").alias("doc_id"), F.min("_at").alias("_at"), F.count("*").alias("n")), "similar-nodes")
     ordered = lambda edges: edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    proposed = materialize(ordered(links(nodes, scheme)), "similar-pairs")
+    proposed = materialize(_thinned(links(nodes, scheme)), "similar-pairs")
     met = proposed.select(F.col("a").alias("node")).unionByName(proposed.select(F.col("b").alias("node"))).distinct()
-    inside = materialize(nodes.join(met, "node").select("node", "fp", "_row"), "similar-met")
-    sets = materialize(_sets(rows, inside.select("node", "_row"), scheme), "similar-sets")
+    inside = materialize(nodes.join(met, "node").select("node", "fp", "_at"), "similar-met")
+    sets = materialize(_sets(rows, inside.select("node", "_at"), scheme), "similar-sets")
     sizes = sets.select("node", (F.octet_length("shingles") / 8).cast("int").alias("size"))
     inside = materialize(inside.join(sizes, "node"), "similar-sizes")
     likely = materialize(_likely(proposed, inside, similarity), "similar-likely")
@@ -583,7 +604,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     likely = materialize(_likely(rest, inside, similarity), "similar-likely")
     linked = linked.unionByName(materialize(_agreed(likely, sets, similarity), "similar-more"))
     by_node = materialize(_components(nodes, linked), "similar-components")
-    return hot_join(known, by_node, "node", known.count()).select("doc_id", "fp", "component_id")
+    return hot_join(known, by_node, "node", known.count()).select("doc_id", "fp", "component_id", "_at")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -591,10 +612,10 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Data
 
     Of repeated rows with that id one stays; rows without an id all stay.
     """
-    found = similar_documents(docs.select("doc_id", "text"), similarity, shingle)
-    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    keep = materialize(keep, "similar-kept")
-    chosen = lambda rows: docs.alias("d").join(keep.where(rows).alias("k"), F.col("d.doc_id") == F.col("k._kept"), "left_semi")
-    # Only rows whose id others share are compared with each other; the rest is looked up and left where it is.
-    kept = chosen("_rows = 1").unionByName(chosen("_rows > 1").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where("doc_id is null"))
+    # Columns may have any names, so they get plain ones on the way.
+    plain = placed(docs.toDF(*[f"c{n}" for n in range(len(docs.columns))]), "similar-rows")
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    found = _similar(plain.select(doc_id.alias("doc_id"), text.cast("string").alias("_text"), "_at"), similarity, shingle)
+    own = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("_at").alias("_at"))
+    pick = picker(own.select("_at").unionByName(found.where("doc_id is null").select("_at")), "similar-kept")
+    return plain.mapInArrow(pick, plain.schema).drop("_at").toDF(*docs.columns)

@@ -157,3 +157,23 @@ def test_hot_keys_are_joined_like_others(spark, monkeypatch):
         monkeypatch.setattr(stars, "SMALL_ROWS", small)
         monkeypatch.setattr(stars, "HOT_ROWS", hot)
         assert sorted(map(tuple, stars.hot_join(rows, groups, "key", 600).collect())) == plain
+
+
+def test_thinned_pairs_join_the_same(spark):
+    rng = random.Random(7)
+    edges = [(min(x), max(x)) for x in ((rng.choice([0, 3, 5, 8, 13, 21]), rng.randrange(300)) for _ in range(4000)) if x[0] != x[1]]
+    edges += [(500 + i, 501 + i) for i in range(40)] + [(700, 700), (901, 900), (900, 901)]
+    got = [tuple(r) for r in simhash._thinned(spark.createDataFrame(edges, "a long, b long")).collect()]
+    nodes = {x for e in edges for x in e}
+    assert components(nodes, got) == components(nodes, edges) and all(a < b for a, b in got)
+    assert len(got) == len(set(got)) <= 2 * len(nodes) + 6 * 6 < len(set(edges))
+
+
+def test_a_kept_id_leaves_its_row_and_texts_stay_where_they_are(spark):
+    a, b = ("the first text of seven words here", "another text that is unlike the first")
+    rows = spark.createDataFrame([(3, a, 1), (1, b, 2), (3, b, 3), (3, a, 1), (None, b, 4), (7, None, 5), (6, "", 6)], "`doc_id` long, text string, `_at` int").repartition(3)
+    kept = simhash.keep_one(rows)
+    assert kept.columns == rows.columns and kept.dtypes == rows.dtypes
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, a, 1), (1, b, 2), (None, b, 4), (6, "", 6)], key=str)
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert simhash.keep_one(rows.limit(0)).count() == 0
