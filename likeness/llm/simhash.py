@@ -80,6 +80,11 @@ class Scheme:
     def carried64(self) -> int:
         return self.part64 or self.words64
 
+    @property
+    def told(self) -> tuple[int, ...]:
+        """The kinds of keys that the carried words tell, where these are a part of the fingerprint."""
+        return tuple(n for n, places in enumerate(self.keys) if max(places) < 8 * self.part64)
+
     @property
     def least_shared(self) -> int:
         """Positional bytes that linked fingerprints share at least, those of one key if nothing more is guaranteed."""
@@ -202,6 +207,24 @@ def _near(x, y, scheme: Scheme):
     return kept[np.bitwise_count(xor[kept]).sum(axis=1, dtype=np.int64) <= scheme.max_bits]
 
 
+def _first_met(x, y, kinds, scheme: Scheme):
+    """Which pairs of rows of ``x`` and ``y``, met under these kinds of keys, have no earlier key in common that the carried words tell.
+
+    What they tell comes before all else. A pair with an earlier key meets in that list too, so a pair is left to one list of
+    those told, and forests of lists without such pairs join what whole ones join.
+    """
+    import numpy as np
+
+    kept = np.ones(len(kinds), bool)
+    for at in range(0, len(kinds), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        same = np.ascontiguousarray(x[part] ^ y[part]).view(np.uint8).reshape(len(kinds[part]), -1) == 0
+        for n in scheme.told:
+            earlier = (kinds[part] > n) | ~np.isin(kinds[part], scheme.told)
+            kept[part] &= ~(earlier & same[:, list(scheme.keys[n])].all(axis=1))
+    return kept
+
+
 def _may_agree(sizes, marks, others, x, y, similarity: float):
     """Which pairs of sets may have that Jaccard similarity.
 
@@ -215,7 +238,7 @@ def _may_agree(sizes, marks, others, x, y, similarity: float):
 
 
 def _forest(pairs):
-    """Those of the pairs, in order, that join two trees."""
+    """Those of the pairs, in order, that join two trees. What a pair has besides its two ends stays with it."""
     parent: dict[int, int] = {}
 
     def root(i: int) -> int:
@@ -225,11 +248,11 @@ def _forest(pairs):
         return i
 
     kept = []
-    for x, y in pairs:
-        a, b = root(x), root(y)
+    for pair in pairs:
+        a, b = root(pair[0]), root(pair[1])
         if a != b:
             parent[a] = b
-            kept.append((x, y))
+            kept.append(pair)
     return kept
 
 
@@ -306,10 +329,11 @@ def _long_lists(nodes: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def links(nodes: DataFrame, scheme: Scheme, apart: float = 0.0) -> DataFrame:
-    """Edges ``a, b`` between nodes (node long, fp binary) that join whatever the links of the scheme join.
+    """Edges ``a, b, bits`` between nodes (node long, fp binary) that join whatever the links of the scheme join.
 
     Each posting list yields a spanning forest of its links, so the edges grow with the lists and
-    not with their squares, and components are those of all links. With ``apart``, a similarity, the nodes have a
+    not with their squares, and components are those of all links. Edges are left out that an earlier list joins, as far as the
+    carried words tell. ``bits`` is how many carried bits differ. With ``apart``, a similarity, the nodes have a
     ``root`` (long), and of their sets ``size`` and ``others`` (int) and ``marks`` (binary), and each list yields all its links
     between different roots instead whose sets may be that similar.
     """
@@ -363,7 +387,8 @@ def links(nodes: DataFrame, scheme: Scheme, apart: float = 0.0) -> DataFrame:
             offsets = members.offsets.to_numpy().astype(np.int64) - members.offsets[0].as_py()
             sizes = np.diff(offsets)
             # Members in order of nodes, so that lists with the same members propose the same pairs.
-            order = np.lexsort((node, np.repeat(np.arange(len(sizes)), sizes)))
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((node, of))
             own, node, prints = own[order], node[order], prints[order]
             if apart:
                 roots, sizes_of, others, marks = roots[order], sizes_of[order], others[order], marks[order]
@@ -386,9 +411,24 @@ def links(nodes: DataFrame, scheme: Scheme, apart: float = 0.0) -> DataFrame:
                     n = int((own[at] == x[i]).sum())
                     edges += [(at[a], at[b]) for a, b in _long_list(prints[at[:n]], prints[at[n:]], scheme)]
             a, b = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
-
-    return lists.mapInArrow(run, "a long, b long")
+            if scheme.told:
+                kinds = batch.column(0).to_numpy()[of[a]] >> 8 * len(scheme.keys[0])
+                kept = _first_met(prints[a], prints[b], kinds, scheme)
+                a, b = a[kept], b[kept]
+            bits = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int32)
+            a, b = node[a], node[b]
+            if scheme.told and not apart:
+                # Of what these lists propose, a forest of the likeliest pairs joins the same.
+                best = np.lexsort((b, a, bits))
+                forest = _forest(zip(a[best].tolist(), b[best].tolist(), bits[best].tolist(), strict=True))
+                a, b, bits = (np.array([e[k] for e in forest], t) for k, t in enumerate((np.int64, np.int64, np.int32)))
+            elif apart:
+                best = np.lexsort((b, a))
+                best = best[(np.diff(a[best], prepend=-1) != 0) | (np.diff(b[best], prepend=-1) != 0) | (np.arange(len(a)) == 0)]
+                a, b, bits = a[best], b[best], bits[best]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits)], names=["a", "b", "bits"])
+
+    return lists.mapInArrow(run, "a long, b long, bits int")
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -451,11 +491,12 @@ def _sets(rows: DataFrame, chosen: DataFrame, scheme: Scheme) -> DataFrame:
 def _thinned(edges: DataFrame) -> DataFrame:
     """Pairs ``a, b`` (a < b) that join what ``edges`` (a, b, repeated) join, far fewer than these where many meet in many lists.
 
-    Each node keeps the LIKELIEST smaller ones that most lists propose for it; all its smaller ones are joined to the smallest
-    of them, and these pairs are the same for many nodes.
+    Each node keeps the LIKELIEST smaller ones of fewest different ``bits``, or without that column those that most lists propose
+    for it; all its smaller ones are joined to the smallest of them, and these pairs are the same for many nodes.
     """
-    counted = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    met = counted.groupBy("b").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "a"))).alias("of"), F.min("a").alias("least"))
+    least, known = (F.min("bits"), ["bits"]) if "bits" in edges.columns else (-F.count("*"), [])
+    counted = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *known).where("a <> b").groupBy("a", "b").agg(least.alias("n"))
+    met = counted.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("n", "a"))).alias("of"), F.min("a").alias("least"))
     own = met.select(F.explode(F.slice("of", 1, LIKELIEST)["a"]).alias("a"), "b")
     among = met.where(F.size("of") > 1).select(F.col("least").alias("a"), F.explode(F.col("of")["a"]).alias("b")).where("a <> b")
     return own.unionByName(among).distinct()

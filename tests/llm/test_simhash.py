@@ -177,3 +177,29 @@ def test_a_kept_id_leaves_its_row_and_texts_stay_where_they_are(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, a, 1), (1, b, 2), (None, b, 4), (6, "", 6)], key=str)
     assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
     assert simhash.keep_one(rows.limit(0)).count() == 0
+
+
+SIMILAR = simhash.similarity_scheme(distinct=True)
+
+
+def test_a_crowd_of_near_copies_is_proposed_few_times(spark):
+    rng = random.Random(8)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.randint(1, 3)):
+            words[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, simhash.fingerprint(" ".join(words), SIMILAR)))
+    rows += [(1000 + i, simhash.fingerprint(" ".join(f"x{rng.randrange(10**6)}" for _ in range(100)), SIMILAR)) for i in range(50)]
+    fps, keys = dict(rows), lambda fp: {(n, *(fp[p] for p in places)) for n, places in enumerate(SIMILAR.keys)}
+    kinds = {n: keys(fp) for n, fp in rows}
+    near = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(fps[a][:16], fps[b][:16], strict=True)) <= SIMILAR.max_bits
+    met = {(a, b) for a, b in combinations(fps, 2) if kinds[a] & kinds[b] and near(a, b)}
+    nodes = spark.createDataFrame([(n, bytearray(fp)) for n, fp in rows], "node long, fp binary")
+    got = [(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in simhash.links(nodes, SIMILAR).collect()]
+    assert components(fps, got) == components(fps, met) and set(got) <= met
+    assert len(got) <= 5 * 400 < len(met) / 10
+    # Between groups all pairs are wanted, and each comes from one list of those that the carried words tell.
+    more = nodes.select("node", "fp", F.col("node").alias("root"), F.lit(146).alias("size"), F.lit(146).alias("others"), F.lit(bytes(simhash.MARKED // 8)).alias("marks"))
+    pairs = [(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in simhash.links(more, SIMILAR, 0.8).collect()]
+    assert set(pairs) == met and len(pairs) <= 3 * len(met)
